@@ -25,11 +25,13 @@ from graphloom.llm.license_texts import LICENSES
 
 #: (spelling, the one it is folded to), whole words after punctuation is gone.
 SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
     ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"),
     ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https", "http"), ("v2", "version 2"), ("v3", "version 3"),
 )
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that begins with a copyright mark and goes on with a year, a name or a mark;
+#: not one that a wrapped sentence about copyright holders happens to begin.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(copyright *(\(c\)|©|<|\[|:|[0-9]{4}|by )|\(c\) |© ?)[^\n]*$"
 ANCHOR = r"(?i)licen[cs]e|rights reserved|public domain|warranty"
 
 

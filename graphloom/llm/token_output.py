@@ -223,9 +223,8 @@ def write_tokens(
         .repartitionByRange(n, key)
         .sortWithinPartitions(key, "_text")
     )
-    ordered.mapInArrow(_shard_writer(folder, vocab_file, end_id, width), "shard int, name string, docs long, ids long").coalesce(
-        n
-    ).write.parquet(f"{folder}/manifest")
+    written = ordered.mapInArrow(_shard_writer(folder, vocab_file, end_id, width), "shard int, name string, docs long, ids long")
+    written.write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 

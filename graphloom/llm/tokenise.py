@@ -27,8 +27,6 @@ class WordEncoder:
         self.memory: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
         # A last "." or "," after a letter is a pre-token of its own.
         whole, cut = [], []
         for w in words:
@@ -48,11 +46,9 @@ class WordEncoder:
         try:
             return b"".join(map(self.memory.__getitem__, words))
         except KeyError:
+            if len(self.memory) > MEMORY:
+                self.memory.clear()
             self._learn(list({w for w in words if w not in self.memory}))
-            for w in words:  # the memory may have been emptied
-                if w not in self.memory:
-                    self._learn([x for x in set(words) if x not in self.memory])
-                    break
             return b"".join(map(self.memory.__getitem__, words))
 
 
