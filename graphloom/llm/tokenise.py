@@ -1,22 +1,43 @@
-"""Token ids of whole texts by the tokenizers library, with a per-word memory.
+"""Token ids of whole texts by the tokenizers library, with a memory for words.
 
-A vocabulary whose pre-tokens never cross white space gives the ids of a text as
-the ids of its words, one after the other. :class:`WordEncoder` cuts a text at
-ASCII space, tab, line feed and carriage return, asks the library for each new
-word once, and joins the remembered ids. Tests hold it against the library's
-encoding of whole texts. The memory is bounded by ``MEMORY`` words.
+For a vocabulary that normalises to NFC and lower case and whose pre-tokens never
+cross white space or the border between letters and marks (as the word-level BPE
+used here), the ids of a text are the ids of its words, one after the other, and
+marks that end a word may stand apart from it. :class:`WordEncoder` cuts texts up
+accordingly, asks the library for each new word once and joins remembered ids. A
+word of lower-case letters alone is one pre-token, so only the library's model is
+asked; other words take its whole way. Texts for which that need not hold (special
+tokens, vertical tabs, text that lower-casing takes out of NFC) go to the library
+whole. Tests hold the result against the library's encoding of whole texts.
+
+The memory is two generations of at most ``MEMORY`` words: when the young one is
+full it becomes the old one, whose words are taken over as they come up again.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import struct
+import unicodedata
 from functools import lru_cache
 
-import numpy as np
-from tokenizers import Tokenizer
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
+from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
+
+MEMORY = 700_000
+_TAIL = re.compile(rb"(?<=[a-z0-9])([.,!]+)(?=[ \n])")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary has for each byte."""
+    shown = sorted(x for a, b in ((33, 127), (161, 173), (174, 256)) for x in range(a, b))
+    rest = iter(range(256, 512))
+    return [chr(x) if x in shown else chr(next(rest)) for x in range(256)]
 
-MEMORY = 300_000
-_SPACE = re.compile(r"[ \t\n\r]+")
+
+_LETTER = _byte_letters()
+assert set(_LETTER) == set(pre_tokenizers.ByteLevel.alphabet())
 
 
 class WordEncoder:
@@ -24,32 +45,42 @@ class WordEncoder:
 
     def __init__(self, vocab_file: str):
         self.tokenizer = Tokenizer.from_file(vocab_file)
-        self.memory: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        # A last "." or "," after a letter is a pre-token of its own.
-        whole, cut = [], []
-        for w in words:
-            (cut if len(w) > 2 and w[-1] in ".," and w[-2].isalpha() else whole).append(w)
-        for w in {x for w in cut for x in (w[:-1], w[-1])}:
-            if w not in self.memory:
-                whole.append(w)
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            self.memory[w] = np.asarray(e.ids, "<u4").tobytes()
-        for w in cut:
-            self.memory[w] = self.memory[w[:-1]] + self.memory[w[-1]]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: set[bytes]) -> None:
+        tokenize, young, old = self.tokenizer.model.tokenize, self.young, self.old
+        for w in new:
+            got = old.get(w)
+            if got is None:
+                x = w.decode()
+                if x.isalpha() and (x.isascii() or x == x.lower()):
+                    ids = [t.id for t in tokenize(x if x.isascii() else "".join(map(_LETTER.__getitem__, w)))]
+                    got = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    got = self._whole(x)
+            young[w] = got
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = _SPACE.split(text)
-        try:
-            return b"".join(map(self.memory.__getitem__, words))
-        except KeyError:
-            if len(self.memory) > MEMORY:
-                self.memory.clear()
-            self._learn(list({w for w in words if w not in self.memory}))
-            return b"".join(map(self.memory.__getitem__, words))
+        raw = text.encode()
+        if b"<|" in raw or b"\x0b" in raw or b"\x0c" in raw:
+            return self._whole(text)
+        low = raw.lower()
+        if not text.isascii() and not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode())):
+            return self._whole(text)
+        words = _TAIL.sub(rb" \1", low).split()
+        if len(self.young) > MEMORY:
+            self.old, self.young = self.young, {}
+        new = set(words).difference(self.young)
+        if new:
+            self._learn(new)
+        return b"".join(map(self.young.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -19,7 +19,7 @@ def whole(vocab, texts):
 
 ODD_TEXTS = [
     "", None, " \n", "a,b.c, d. é. ß, can't won't. '.' ... ,. x., 1, 2.", "<|endoftext|> in <|startoftext|>text", "e\u0301 A\u030a. \u00a0x\u2003y\x0bz\x1cq", "漢字。かな, 한글.",
-    "İstanbul ΣΑΣ. \U0001f600, ok", "a" * 5000, "it's they're. we'll, I'd",
+    "İstanbul ΣΑΣ. \U0001f600, ok", "a" * 5000, "it's they're. we'll, I'd", "H\u0331 T\u0308. W\u030a, J\u030c I\u0307 K \u212a", "(paren) 'quoted'. a-b --c-- #tag! $5.00 <|x|> 'S 'LL.", "½! ²³, x².y ٣.", "<|ENDOFTEXT|>",
 ]
 
 
