@@ -65,6 +65,7 @@ def exact_groups(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", tex
     full = docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text")).mapInArrow(canon, f"_id {kind}, canon string, fp string")
     members = materialise(full.join(maybe_broadcast(shared, 64), "fp"), "members")
     first = members.where(F.col("_id").eqNullSafe(F.col("low"))).groupBy("fp").agg(F.min("canon").alias("first_canon"))
+    first = materialise(first, "first")  # a table of its own, so that Spark can split a hot bucket's side of the join
     judged = members.join(first, "fp").select("fp", "_id", "low", "canon", (F.col("canon") == F.col("first_canon")).alias("same"))
     same = judged.where("same").select("fp", F.col("low").alias("same_as"), "_id")
     other = judged.where("NOT same")

@@ -27,6 +27,7 @@ import bisect
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,7 @@ ORDERS = (1, 2, 3, 4)
 PER_LANG = 3_000
 MAX_LANGS = 256
 SWITCH = 12.0
-MEMORY = 200_000
+MEMORY = 600_000
 
 #: First code points of script ranges; a range ends where the next begins.
 SCRIPTS = [
@@ -61,10 +62,6 @@ def script_of(ch: str) -> str:
     return SCRIPTS[bisect.bisect_right(_FROM, ord(ch)) - 1][1]
 
 
-def letters_of(word: str) -> str:
-    return "".join(_LETTERS.findall(unicodedata.normalize("NFC", word).lower()))
-
-
 def buckets_of(letters: str) -> list[int]:
     t = f"<{letters}>"
     return [zlib.crc32(t[i : i + k].encode()) % BUCKETS for k in ORDERS for i in range(len(t) - k + 1)]
@@ -76,6 +73,13 @@ class Model:
     logp: np.ndarray  # languages by buckets
     scripts: dict[str, np.ndarray]  # of each script: which languages use it
 
+    def __post_init__(self):
+        self.logp_t = np.ascontiguousarray(self.logp.T)
+        self.none = np.zeros(len(self.langs), bool)
+
+    def uses(self, script: str) -> np.ndarray:
+        return self.scripts.get(script, self.none)
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -101,16 +105,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 k = number[lang]
-                for w in text.split():
+                for w, n in Counter(_LETTERS.findall(unicodedata.normalize("NFC", text.lower()))).items():
                     if w not in memory:
-                        if len(memory) > MEMORY:
+                        if len(memory) > MEMORY // 4:
                             memory.clear()
-                        x = letters_of(w)
-                        memory[w] = (np.asarray(buckets_of(x) if x else [], np.int64), [script_of(c) for c in x])
+                        memory[w] = (np.asarray(buckets_of(w), np.int64), Counter(map(script_of, w)))
                     at, of = memory[w]
-                    np.add.at(grams[k], at, 1) if len(at) else None
-                    for s in of:
-                        scripts[k, s] = scripts.get((k, s), 0) + 1
+                    np.add.at(grams[k], at, n)
+                    for s, m in of.items():
+                        scripts[k, s] = scripts.get((k, s), 0) + m * n
         for k in range(len(langs)):
             at = np.flatnonzero(grams[k])
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array([""] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(grams[k, at], pa.int64())], names=["k", "script", "bucket", "n"])
@@ -137,36 +140,58 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 class Labeller:
-    """Scores words by a model, remembering them, and labels texts."""
+    """Scores words by a model, remembering them, and labels texts. A word is a run of
+    letters, lower-cased."""
 
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
+        self.bucket: dict[str, int] = {}
+        self.script: dict[str, str] = {}
         self._clear()
 
     def _clear(self):
         self.number: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.langs)))
-        self.letters = np.zeros(1024, np.int64)
+        self.scores = np.zeros((4096, len(self.model.langs)))
+        self.letters = np.zeros(4096, np.int64)
 
-    def _score(self, word: str) -> int:
-        k = len(self.number)
-        if k == len(self.letters):
+    def _learn(self, words: list[str]) -> None:
+        """Remember ``words``, none of which is known."""
+        first, k = len(self.number), len(words)
+        while first + k > len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        x = letters_of(word)
-        self.letters[k] = len(x)
-        row = np.zeros(len(self.model.langs))
-        if x:
-            uses = np.zeros(len(row), bool)
-            for s in {script_of(c) for c in x}:
-                uses |= self.model.scripts.get(s, uses)
-            if uses.any():
-                row = self.model.logp[:, buckets_of(x)].sum(axis=1)
-                row -= row[uses].max()
-                row = np.where(uses, np.maximum(row, -20.0), -20.0)
-        self.scores[k] = row
-        self.number[word] = k
-        return k
+        if len(self.bucket) > MEMORY:
+            self.bucket.clear()
+        at, starts, known = [], [], self.bucket
+        for w in words:
+            starts.append(len(at))
+            t = f"<{w}>"
+            for g in [t[i : i + n] for n in ORDERS for i in range(len(t) - n + 1)]:
+                x = known.get(g)
+                if x is None:
+                    x = known[g] = zlib.crc32(g.encode()) % BUCKETS
+                at.append(x)
+        rows = np.add.reduceat(self.model.logp_t[at], starts, axis=0)
+        uses = np.tile(self.model.uses("latin"), (k, 1))
+        for i, w in enumerate(words):
+            if not w.isascii():
+                uses[i] = self._uses(w)
+        rows = np.where(uses, rows, -np.inf)
+        rows = np.maximum(rows - rows.max(axis=1, keepdims=True, initial=-1e9), -20.0)
+        rows[~uses.any(axis=1)] = 0.0
+        self.scores[first : first + k] = rows
+        self.letters[first : first + k] = list(map(len, words))
+        self.number.update(zip(words, range(first, first + k)))
+
+    def _uses(self, word: str) -> np.ndarray:
+        """Which languages use the scripts of ``word``."""
+        out = np.zeros(len(self.model.langs), bool)
+        for c in set(word):
+            s = self.script.get(c)
+            if s is None:
+                s = self.script[c] = script_of(c)
+            out |= self.model.uses(s)
+        return out
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best language for each word, given scores of words by languages."""
@@ -175,20 +200,23 @@ class Labeller:
         low = np.minimum.accumulate(np.concatenate([np.zeros((1, s.shape[1])), run[:-1]]), axis=0)
         if (run - low).max() <= self.switch / 2:
             return np.full(len(s), best)
-        n, m = s.shape
-        back = np.zeros((n, m), np.int32)
-        stay = np.arange(m)
-        score = s[0].copy()
-        for t in range(1, n):
-            top = int(score.argmax())
-            moved = score[top] - self.switch
-            back[t] = np.where(score >= moved, stay, top)
-            score = np.maximum(score, moved) + s[t]
-        out = np.empty(n, np.int64)
-        out[-1] = int(score.argmax())
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
-        return out
+        # Few languages: lists are faster than arrays of so few numbers.
+        rows, switch = s.tolist(), self.switch
+        score, before, limits, tops = rows[0], [], [], []
+        for row in rows[1:]:
+            most = max(score)
+            limit = most - switch
+            before.append(score)
+            limits.append(limit)
+            tops.append(most)
+            score = [(x if x >= limit else limit) + y for x, y in zip(score, row)]
+        at = score.index(max(score))
+        out = [at]
+        for prev, limit, most in zip(reversed(before), reversed(limits), reversed(tops)):
+            if prev[at] < limit:
+                at = prev.index(most)
+            out.append(at)
+        return np.asarray(out[::-1])
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(first word, word after the last, language) of each span."""
@@ -201,32 +229,34 @@ class Labeller:
         return [(a, b, self.model.langs[p[a]]) for a, b in zip(ends, ends[1:])]
 
     def _numbers(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        get = self.number.get
-        at = [get(w, -1) for w in words]
-        if -1 in at:
-            if len(self.number) > MEMORY:
-                self._clear()
-            at = [get2 if (get2 := self.number.get(w, -1)) >= 0 else self._score(w) for w in words]
-        return np.asarray(at, np.int64)
+        text = (text or "").lower()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        words = _LETTERS.findall(text)
+        if not words:
+            return np.zeros(0, np.int64)
+        if len(self.number) > MEMORY:
+            self._clear()
+        new = set(words).difference(self.number)
+        if new:
+            self._learn(sorted(new))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def label(self, text: str | None) -> tuple[str, float]:
-        """The language of most letters, and its share of them times the odds against
-        the runner-up on the whole text."""
+        """The language of most letters and its share of them; for a text of one language
+        the share is times the odds against the others."""
         at = self._numbers(text)
         if not len(at):
             return "und", 0.0
         letters = self.letters[at]
-        total = int(letters.sum())
-        if not total:
-            return "und", 0.0
         s = self.scores[at]
         by = np.bincount(self.path(s), weights=letters, minlength=len(self.model.langs))
         best = int(by.argmax())
-        sums = s.sum(axis=0)
-        odds = 1 / np.exp(np.minimum(sums - sums[best], 50.0)).sum()
-        share = by[best] / total
-        return self.model.langs[best], float(min(1.0, share * max(odds, 1 / len(sums))))
+        share = by[best] / letters.sum()
+        if share == 1.0:
+            sums = s.sum(axis=0)
+            share = 1 / np.exp(np.minimum(sums - sums[best], 50.0)).sum()
+        return self.model.langs[best], float(min(1.0, share))
 
 
 def identify(
