@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, text_column
+from graphloom.llm.common import materialise, spread, text_column
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             names=["k", "script", "bucket", "n"],
         )
 
-    got = sample.select("_text", "_lang").mapInArrow(count, "k int, script string, bucket long, n long")
+    got = spread(sample.select("_text", "_lang")).mapInArrow(count, "k int, script string, bucket long, n long")
     got = got.groupBy("k", "script", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages times buckets at most
     c = np.zeros((len(langs), BUCKETS))
     g = got[got["bucket"] >= 0]
@@ -278,7 +278,7 @@ def identify(
             )
 
     kinds = dict(docs.dtypes)
-    out = picked.mapInArrow(run, ", ".join([f"_c{i} {kinds[c]}" for i, c in enumerate(carried)] + ["lang_pred string", "score double"]))
+    out = spread(picked).mapInArrow(run, ", ".join([f"_c{i} {kinds[c]}" for i, c in enumerate(carried)] + ["lang_pred string", "score double"]))
     if keep:
         return out
     return out.select(F.col("_c0").alias(id_col), held_out(F.col("_c0")).alias("held_out"), "lang_pred", "score")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, text_column
+from graphloom.llm.common import materialise, spread, text_column
 from graphloom.llm.tokenise import encoder
 
 LENGTH = 2048
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, vocab_file: str, length: int, end_id: int, id_col: s
                 names=["_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text")).mapInArrow(
+    return spread(docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"))).mapInArrow(
         run, f"_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 

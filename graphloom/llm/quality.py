@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, text_column
+from graphloom.llm.common import materialise, spread, text_column
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -112,7 +112,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     schema = ", ".join([f"_id {dict(docs.dtypes)[id_col]}", *[f"{c} long" for c in counts], *[f"{c} double" for c in FEATURES]])
-    return docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"))).mapInArrow(run, schema)
 
 
 @dataclass
