@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.model import Form, Model
+from graphloom.model import Form, Model, bare_tags
 
 TAGS = "map<string,struct<min:bigint,max:bigint>>"
 TAGPROPS = "map<string,map<string,string>>"
@@ -50,7 +50,16 @@ class Graph:
         """The tag map of a row: its ``tags`` column, else the form's rule, else empty."""
         if "tags" in df.columns:
             return F.coalesce(F.col("tags"), F.create_map().cast(TAGS))
-        return form.tags() if form.tags else F.create_map().cast(TAGS)
+        return bare_tags(*form.tags()) if form.tags else F.create_map().cast(TAGS)
+
+    def has_tag(self, form: Form, df: DataFrame, tag: str) -> Column:
+        """Whether a row has a tag. Derived tags are compared as they are, without a map."""
+        if "tags" in df.columns or not form.tags:
+            return F.coalesce(F.map_contains_key(self.tags(form, df), tag), F.lit(False))
+        out = F.lit(False)
+        for leaf in form.tags():
+            out |= F.coalesce((leaf == tag) | leaf.startswith(tag + "."), F.lit(False))
+        return out
 
     def tagprops(self, df: DataFrame) -> Column:
         if "tagprops" in df.columns:

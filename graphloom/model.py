@@ -29,8 +29,8 @@ class Prop:
 
 @dataclass(frozen=True)
 class Form:
-    """A node kind. ``key`` are the columns of its primary value; ``tags`` derives a
-    ``map<string, struct<min,max>>`` where the table has no ``tags`` column."""
+    """A node kind. ``key`` are the columns of its primary value; ``tags`` derives leaf tags,
+    each a column of names or nulls, where the table has no ``tags`` column."""
 
     name: str
     table: str
@@ -38,7 +38,7 @@ class Form:
     type: Type
     props: dict[str, Prop] = field(default_factory=dict)
     ifaces: tuple[str, ...] = ()
-    tags: Callable[[], Column] | None = None
+    tags: Callable[[], list[Column]] | None = None
 
     def prop(self, name: str) -> Prop:
         if name not in self.props:
@@ -132,12 +132,12 @@ def driver_model() -> Model:
     forms = [
         Form("region", "region", ("r_regionkey",), i, {"name": Prop("r_name", s)}),
         Form("nation", "nation", ("n_nationkey",), i, {"name": Prop("n_name", s), "regionkey": Prop("n_regionkey", i, "region")}),
-        Form("customer", "customer", ("c_custkey",), i, ns("c") | {"mktsegment": Prop("c_mktsegment", s)}, ("party",), lambda: bare_tags(F.concat(F.lit("segment."), slug(F.col("c_mktsegment"))), F.when(F.col("c_acctbal") < 0, F.lit("credit.overdrawn")))),
+        Form("customer", "customer", ("c_custkey",), i, ns("c") | {"mktsegment": Prop("c_mktsegment", s)}, ("party",), lambda: [F.concat(F.lit("segment."), slug(F.col("c_mktsegment"))), F.when(F.col("c_acctbal") < 0, F.lit("credit.overdrawn"))]),
         Form("supplier", "supplier", ("s_suppkey",), i, ns("s"), ("party",)),
         Form("part", "part", ("p_partkey",), i, {"name": Prop("p_name", s), "brand": Prop("p_brand", s), "type": Prop("p_type", s), "size": Prop("p_size", i), "retailprice": Prop("p_retailprice", d)}),
         Form("orders", "orders", ("o_orderkey",), i, {
             "custkey": Prop("o_custkey", i, "customer"), "status": Prop("o_orderstatus", s), "totalprice": Prop("o_totalprice", d), "date": Prop("o_orderdate", t), "priority": Prop("o_orderpriority", s),
-        }, (), lambda: bare_tags(F.concat(F.lit("priority."), slug(F.regexp_replace("o_orderpriority", r"^\d-", ""))), F.concat(F.lit("status."), F.lower("o_orderstatus")))),
+        }, (), lambda: [F.concat(F.lit("priority."), slug(F.regexp_replace("o_orderpriority", r"^\d-", ""))), F.concat(F.lit("status."), F.lower("o_orderstatus"))]),
         Form("lineitem", "lineitem", ("l_orderkey", "l_linenumber"), s, {
             "orderkey": Prop("l_orderkey", i, "orders"), "partkey": Prop("l_partkey", i, "part"), "suppkey": Prop("l_suppkey", i, "supplier"), "linenumber": Prop("l_linenumber", i),
             "quantity": Prop("l_quantity", d), "extendedprice": Prop("l_extendedprice", d), "discount": Prop("l_discount", d), "tax": Prop("l_tax", d),

@@ -147,7 +147,7 @@ class Tag(Cond):
                 return F.size(tags) > 0
             if "*" in self.tag:
                 return F.exists(F.map_keys(tags), lambda t: t.rlike(unwild(self.tag)))
-            return F.map_contains_key(tags, self.tag)
+            return graph.has_tag(form, df, self.tag)
         got = F.try_element_at(tags, F.lit(self.tag))
         if self.op == "@=":
             return tag_overlaps(got, self.valu)

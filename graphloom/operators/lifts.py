@@ -5,6 +5,9 @@ In mid-pipeline a lift appends its rows to those that come in: ``stream.union(li
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +93,7 @@ def lift_tag(graph: Graph, tag: str, form: str = "*", at=None) -> Stream:
 
     def one(f: Form) -> DataFrame:
         df = graph.frame(f)
-        tags = graph.tags(f, df)
-        return df.where(F.map_contains_key(tags, tag) if at is None else tag_overlaps(tags[tag], at))
+        return df.where(graph.has_tag(f, df, tag) if at is None else tag_overlaps(F.try_element_at(graph.tags(f, df), F.lit(tag)), at))
 
     return graph.stream({f.name: one(f) for f in tagged_forms(graph, form)})
 
@@ -105,7 +107,7 @@ def lift_tags(graph: Graph, tags: list[str], form: str = "*") -> Stream:
     """Rows with any of the tags, each once."""
     def one(f: Form) -> DataFrame:
         df = graph.frame(f)
-        return df.where(F.arrays_overlap(F.map_keys(graph.tags(f, df)), F.array(*map(F.lit, tags))))
+        return df.where(reduce(or_, [graph.has_tag(f, df, t) for t in tags]))
 
     return graph.stream({f.name: one(f) for f in tagged_forms(graph, form)})
 
