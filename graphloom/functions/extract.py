@@ -5,6 +5,8 @@ Everything is Spark patterns, so texts never leave the JVM.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ def refang(s: Column) -> Column:
     return s
 
 
+def _named(form: str, v: Column) -> Column:
+    return F.struct(F.lit(form).alias("form"), v.alias("valu"))
+
+
 def ndefs(s: Column, forms: list[str] | None = None, defanged: bool = True) -> Column:
     """An array of ``(form, valu)`` found in a text, each once."""
     text = refang(s) if defanged else s
@@ -45,7 +51,7 @@ def ndefs(s: Column, forms: list[str] | None = None, defanged: bool = True) -> C
             got = F.regexp_extract_all(text, F.lit(rx), F.lit(group))
             if form in ("inet:email", "inet:fqdn", "hash:md5", "hash:sha1", "hash:sha256", "it:sec:cve", "inet:ipv6"):
                 got = F.transform(got, F.lower)
-            found.append(F.transform(got, lambda v, form=form: F.struct(F.lit(form).alias("form"), v.alias("valu"))))
+            found.append(F.transform(got, partial(_named, form)))
     return F.array_distinct(F.concat(*found))
 
 

@@ -22,9 +22,14 @@ SCHEMA = f"form string, valu string, props map<string,string>, tags {TAGS}, tagp
 IVAL = "struct<min:bigint,max:bigint>"
 
 
+def nested(kind: Type) -> bool:
+    """Whether values are kept as JSON text."""
+    return kind.spark.startswith(("array", "struct"))
+
+
 def storage(graph: Graph, form: Form, df: DataFrame) -> DataFrame:
     """A typed frame as a storage frame."""
-    pairs = [F.struct(F.lit(n).alias("key"), (F.to_json(q(p.column)) if isinstance(p.type, Array) else q(p.column).cast("string")).alias("value")) for n, p in form.props.items()]
+    pairs = [F.struct(F.lit(n).alias("key"), (F.to_json(q(p.column)) if nested(p.type) else q(p.column).cast("string")).alias("value")) for n, p in form.props.items()]
     props = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull()))
     return df.select(
         F.lit(form.name).alias("form"), valu_text(form).alias("valu"), props.alias("props"), graph.tags(form, df).alias("tags"),
@@ -36,7 +41,7 @@ def typed(form: Form, df: DataFrame) -> DataFrame:
     """The rows of one form of a storage frame, with the form's own columns."""
     def col(name: str) -> Column:
         p, text = form.props[name], F.try_element_at("props", F.lit(name))
-        return (F.from_json(text, p.type.spark) if isinstance(p.type, Array) else text.try_cast(p.type.spark)).alias(p.column)
+        return (F.from_json(text, p.type.spark) if nested(p.type) else text.try_cast(p.type.spark)).alias(p.column)
 
     own = {p.column for p in form.props.values()}
     keys = [] if len(form.key) > 1 or form.key[0] in own else [F.col("valu").try_cast(form.type.spark).alias(form.key[0])]
