@@ -28,7 +28,7 @@ def test_time_texts():
             timing.parse(bad)
 
 
-def test_norms():
+def test_norms(spark):
     assert t.Int().norm("0x10") == 16
     assert t.Int(min=1, max=3).norm(3) == 3
     with pytest.raises(BadTypeValu):
