@@ -76,10 +76,10 @@ def spread(docs: DataFrame) -> DataFrame:
     """``docs`` over all cores where few files hold a small table.
 
     A small Parquet file is one row group and so one task, however many cores wait. Rows
-    are dealt out only if there are fewer than two files for each core and less than 32 MB
-    of them; larger inputs are read as they lie.
+    are dealt out only if there are fewer files than cores and less than 32 MB for each
+    core; other inputs are read as they lie.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * (32 << 20):
         return docs
-    return docs.repartition(2 * cores) if 0 < len(docs.inputFiles()) < 2 * cores else docs
+    return docs.repartition(2 * cores) if 0 < len(docs.inputFiles()) < cores else docs
