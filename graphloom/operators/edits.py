@@ -74,6 +74,19 @@ def node(graph: Graph, form: str, values: list, kind: Type | None = None, lenien
     return rows.select(F.lit(form).alias("form"), "valu", *empties())
 
 
+def add_or_get(graph: Graph, form: str, values: list, lenient: bool = False) -> Stream:
+    """``[ form=v ]``: typed rows of the nodes, those that are there as they are and the
+    others with nothing but their value."""
+    f = graph.model.form(form)
+    if len(f.key) != 1:
+        raise BadArg(f"{form} has several keys")
+    made = node(graph, form, values, lenient=lenient).select(F.col("valu").try_cast(f.type.spark).alias("_k")).distinct()
+    have = graph.frame(f)
+    there = have.join(made, f.valu() == F.col("_k"), "left_semi")
+    fresh = made.join(have.select(f.valu().alias("_h")), F.col("_k") == F.col("_h"), "left_anti").withColumnRenamed("_k", f.key[0])
+    return graph.stream({form: there.unionByName(fresh, allowMissingColumns=True)})
+
+
 def empties() -> list[Column]:
     none = F.create_map()
     return [

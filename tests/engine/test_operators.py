@@ -203,6 +203,20 @@ def test_language(g, text, want):
     assert names(run_text(g, text)) == sorted(want)
 
 
+def test_language_edits(g):
+    rows = {r["s"]: r for r in run_text(g, "test:str [ :hehe=new +#x.y=(10, 20) -#foo :ns+=7 -:n +#x.y:score=3 ]").df().collect()}
+    assert {r["hehe"] for r in rows.values()} == {"new"} and {r["n"] for r in rows.values()} == {None}
+    assert set(rows["a"]["tags"]) == {"x", "x.y"} and rows["a"]["tags"]["x.y"]["max"] == 20 and rows["a"]["ns"] == [1, 2, 2, 7] and rows["c"]["ns"] == [7]
+    assert rows["b"]["tagprops"] == {"x.y": {"score": "3"}}
+    got = {r["ip"]: r["asn"] for r in run_text(g, "[ inet:ipv4=1.2.3.0/29 inet:ipv4?=junk ]").df().collect()}
+    assert len(got) == 8 and got[0x01020302] == 2 and got[0x01020307] is None
+    assert names(run_text(g, "[ test:str=new :hehe=q ] +:hehe=q")) == ["new"]
+
+
+def test_language_for(g):
+    assert names(run_text(g, "for $x in (1, 2) { test:int=$x }")) == ["1", "2"]
+
+
 def test_language_tables(g):
     assert [tuple(r) for r in run_text(g, "test:str | stats.countby :hehe --size 1").collect()] == [("X", 1)]
     assert run_text(g, "test:str | count").first()[0] == 3
