@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -34,6 +35,33 @@ def test_every_notice_has_an_anchor():
             assert re.search(licenses.ANCHOR, text), name
 
 
+def test_every_license_line_of_the_fixture_is_matched(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = licenses.scan(docs, licenses.known_licenses(spark)).where("notices IS NOT NULL").select("doc_id", "notices")
+    said = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    said = said.where(F.col("line").rlike(r"(?i)licen[cs]e|rights reserved|public domain|\bcc[ -]by|creative commons"))
+    assert said.count() > 300
+    assert said.join(got, "doc_id", "left_anti").count() == 0
+    nc = said.where("line = 'Licensed under CC BY-NC 4.0.'").join(got, "doc_id")
+    assert nc.count() > 60 and nc.where("notices NOT LIKE '%notice:CC-BY-NC-4.0%'").count() == 0
+
+
+def test_families_and_full_texts(spark):
+    gpl = Path("/usr/share/common-licenses/GPL-3")
+    rows = [
+        ("Licensed under CC BY-NC 4.0.", None, "notice:CC-BY-NC-4.0"), ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", None, "notice:CC-BY-NC-4.0"),
+        ("x\nLicensed under the GPLv3", None, "notice:GPL-3.0"), ("SPDX-License-Identifier: BSD-2-Clause", None, "notice:BSD-2-Clause"), ("Released under the New BSD License.", None, "notice:BSD-3-Clause"),
+    ]
+    rows += [(LICENSES[n], n, None) for n in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Unlicense")]
+    rows += [("\n".join(LICENSES["MIT"].split("\n\n")[2:]), "MIT", None), (LICENSES["Apache-2.0"].split("END OF TERMS")[0], "Apache-2.0", None)]
+    rows += [(gpl.read_text(), "GPL-3.0", None)] if gpl.exists() else []
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
+    for i, (text, whole, notice) in enumerate(rows):
+        assert got[i].license_id == (whole or notice if "\n" not in text else whole), text[:80]
+        assert notice is None or got[i].notices == notice, text
+
+
 def test_license_scan_runs_no_python(spark, documents):
     plan = licenses.scan(documents, licenses.known_licenses(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
