@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import components, fingerprints, line_dedup, simhash
+from graphloom.llm import components, fingerprints, line_dedup, near_copies, simhash
 
 
 def brute_print(text):
@@ -87,6 +87,49 @@ def test_links_join_what_all_pairs_join(spark, pair_limit):
     assert roots_of(len(fps), got) == roots_of(len(fps), pairs)
 
 
+def shingle_set(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_by_hand(rows, least=0.8):
+    """rows of (id, text) -> the smallest id of each group."""
+    s = [shingle_set(t) for _, t in rows]
+    like = lambda a, b: a == b or len(a & b) >= least * len(a | b) > 0
+    r = roots_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if like(s[i], s[j])])
+    low = {}
+    for (i, _), k in zip(rows, r):
+        low[k] = min(low.get(k, i), i)
+    return sorted(low.values())
+
+
+def test_near_copies_stage_by_all_pairs(spark, documents, empty):
+    """Against brute force on the fixture and on edited copies of known similarity."""
+    rng = random.Random(11)
+    word = lambda: "w%d" % rng.randrange(10_000)
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    for i in range(60):
+        base = [word() for _ in range(300)]
+        rows.append((10_000 + 2 * i, " ".join(base)))
+        for k in rng.sample(range(300), rng.randrange(1, 14)):  # each takes up to five shingles on either side
+            base[k] = word()
+        rows.append((10_001 + 2 * i, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_by_hand(rows)
+    assert len(want) < len(rows) - 20
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.remove_near_copies(spark, df, "").collect()) == want
+    assert sorted(r.doc_id for r in near_copies.dedup(df, pair_limit=2).collect()) == want
+    assert near_copies.dedup(empty).count() == 0
+
+
+def test_near_copies_odd_rows(odd):
+    kept = near_copies.dedup(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == len({frozenset(shingle_set(r.text)) for r in odd.collect()}) - 1  # the long one and its copy with an end
+
+
 def test_components_of_long_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
