@@ -497,7 +497,7 @@ def html_text(g):
 def interval_join(g):
     day = 86_400_000
     o = g.tables("orders").where("o_orderstatus = 'P'").withColumn("lo", F.unix_millis(F.col("o_orderdate").cast("timestamp")))
-    a = o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("a"), F.col("lo").alias("alo"), (F.col("lo") + 3 * day).alias("ahi"))
+    a = o.select(F.col("o_orderkey").alias("a"), F.col("lo").alias("alo"), (F.col("lo") + 3 * day).alias("ahi"))
     b = o.select(F.col("o_orderkey").alias("b"), F.col("lo").alias("blo"), (F.col("lo") + 3 * day).alias("bhi"))
     return joins.interval_join(a, b, "alo", "ahi", "blo", "bhi", 3 * day).select("a", "b")
 

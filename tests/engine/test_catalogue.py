@@ -35,3 +35,11 @@ def test_no_python_or_cross_joins_in_plans(spark, sf):
     for name in ("flagship", "filter_subq_count", "pivot_multi_hop", "edge_walk_n1", "scrape", "html_text", "fork_resolve", "interval_join"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_interval_join_joins_all_rows(spark, sf, duck):
+    rows = duck.sql("SELECT o_orderkey, epoch_ms(o_orderdate) FROM orders WHERE o_orderstatus = 'P'").fetchall()
+    near = 3 * 86_400_000
+    want = sorted((a, b) for a, x in rows for b, y in rows if abs(x - y) < near)
+    assert len({a for a, _ in want}) == len(rows) > 400
+    assert sorted(map(tuple, queries.QUERIES["interval_join"](spark, sf).collect())) == want
