@@ -7,49 +7,19 @@ an intermediate result.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its counted rows times its row width stay below this.
-BROADCAST_BYTES = 32 << 20
-
-_local: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir``, else one of our own.
-
-    Only plain ``local[...]`` sessions fall back to a temporary folder; any other
-    master without the setting uses the warehouse, which is shared too.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        if "dir" not in _local:
-            _local["dir"] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        return _local["dir"]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
+from graphloom.plans.scratch import cut as materialise
+from graphloom.plans.scratch import discard
+from graphloom.plans.scratch import fresh as scratch_path
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch folder, removed when the session's JVM ends."""
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+__all__ = ["BROADCAST_BYTES", "column", "deal", "discard", "materialise", "maybe_broadcast", "row_key", "scratch_path", "text_column"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder once and return the written table."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A side is broadcast only if its counted rows times its row width stay below this.
+BROADCAST_BYTES = 32 << 20
+#: The setting that names :func:`deal`'s number of partitions.
+DEAL = "graphloom.deal"
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -61,25 +31,28 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> D
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_key(df: DataFrame, columns: list[str] | None = None) -> tuple[Column, Column]:
     """128 bits that stand for a row's content; nulls count, equal rows share them."""
-    cols = [F.col(f"`{c}`") for c in (columns or df.columns)]
+    cols = [column(c) for c in (columns or df.columns)]
     marks = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols])
     return F.xxhash64(marks, *cols), F.xxhash64(F.lit(0x9E37), marks, *cols)
 
 
 def text_column(name: str) -> Column:
-    return F.col(f"`{name}`").cast("string")
+    return column(name).cast("string")
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores where few files hold a small table.
+def deal(docs: DataFrame) -> DataFrame:
+    """``docs`` in as many partitions as the session's ``graphloom.deal`` says.
 
-    A small Parquet file is one row group and so one task, however many cores wait. Rows
-    are dealt out only if there are fewer files than cores and less than 32 MB for each
-    core; other inputs are read as they lie.
+    Unset, as it should be for inputs of many files, rows are read as they lie. Set it
+    where few large files would leave cores idle; it acts alike on tables of all sizes
+    and costs one shuffle of the texts.
     """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * (32 << 20):
-        return docs
-    return docs.repartition(2 * cores) if 0 < len(docs.inputFiles()) < cores else docs
+    n = docs.sparkSession.conf.get(DEAL, None)
+    return docs.repartition(int(n)) if n else docs

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise
+from graphloom.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(small.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, e = e, materialise(small.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(old)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

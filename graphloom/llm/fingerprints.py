@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloom.llm.common import materialise, maybe_broadcast, text_column
+from graphloom.llm.common import column, materialise, maybe_broadcast, text_column
 
 
 def canonical(text: str | None) -> str:
@@ -62,7 +63,7 @@ def exact_groups(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(fps, pa.string())], names=["_id", "canon", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    full = docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text")).mapInArrow(canon, f"_id {kind}, canon string, fp string")
+    full = docs.select(column(id_col).alias("_id"), text_column(text_col).alias("_text")).mapInArrow(canon, f"_id {kind}, canon string, fp string")
     members = materialise(full.join(maybe_broadcast(shared, 64), "fp"), "members")
     first = members.where(F.col("_id").eqNullSafe(F.col("low"))).groupBy("fp").agg(F.min("canon").alias("first_canon"))
     first = materialise(first, "first")  # a table of its own, so that Spark can split a hot bucket's side of the join
@@ -118,8 +119,8 @@ def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     only its first and last rows wait for their neighbours from other ranges.
     """
     kind = dict(docs.dtypes)[id_col]
-    base = docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"))
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    base = docs.select(column(id_col).alias("_id"), text_column(text_col).alias("_text"))
+    arrow = to_arrow_type(docs.schema[id_col].dataType)
     ordered = base.repartitionByRange(F.col("_id").desc_nulls_last()).sortWithinPartitions(F.col("_id").desc_nulls_last(), "_text")
     walked = materialise(
         ordered.mapInArrow(_walk(arrow), f"_id {kind}, {_OUT}").withColumn("part", F.spark_partition_id()), "walked"

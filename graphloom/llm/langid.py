@@ -3,7 +3,9 @@
 Learning: character n-gram counts of words (orders 1 to 4 with word ends, hashed to
 ``BUCKETS``) for each language, from a sample of at most about ``per_lang`` documents
 for each, picked by id hash; partial counts are summed by aggregation. The model is a
-matrix of languages by buckets, and the share of each script in each language.
+matrix of languages by buckets, and the share of each script in each language. Every
+labelled language is learned; the matrix grows with their number alone. A word is a
+letter and the letters and marks that follow it.
 
 Labelling: a word's letters fall into script ranges; only languages that use its
 scripts are candidates for it. Each word gets a score for each language, remembered
@@ -24,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import unicodedata
 import zlib
@@ -32,17 +35,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, spread, text_column
+from graphloom.llm.common import column, deal, materialise, text_column
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 PER_LANG = 3_000
-MAX_LANGS = 256
 SWITCH = 12.0
-MEMORY = 600_000
+#: Words that a worker remembers at most, and bytes of their scores.
+MEMORY, MEMORY_BYTES = 600_000, 64 << 20
 
 #: First code points of script ranges; a range ends where the next begins.
 SCRIPTS = [
@@ -55,13 +59,25 @@ SCRIPTS = [
     (0x20000, "han"), (0x32000, "other"),
 ]
 _FROM = [a for a, _ in SCRIPTS]
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile("[a-z]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased words of a text: a letter and what letters and marks follow it."""
+    text = (text or "").lower()
+    return _ASCII.findall(text) if text.isascii() else _LETTERS.findall(unicodedata.normalize("NFC", text))
 
 
 def script_of(ch: str) -> str:
     return SCRIPTS[bisect.bisect_right(_FROM, ord(ch)) - 1][1]
 
 
+def letters_only(word: str) -> str:
+    """``word`` without its marks, which many scripts share."""
+    return word if word.isascii() else "".join(c for c in word if unicodedata.category(c)[0] != "M")
+
+
 def buckets_of(letters: str) -> list[int]:
     t = f"<{letters}>"
     return [zlib.crc32(t[i : i + k].encode()) % BUCKETS for k in ORDERS for i in range(len(t) - k + 1)]
@@ -76,6 +92,7 @@ class Model:
     def __post_init__(self):
         self.logp_t = np.ascontiguousarray(self.logp.T)
         self.none = np.zeros(len(self.langs), bool)
+        self.even = -math.log(BUCKETS) / len(ORDERS)  # of an n-gram, if all were as frequent
 
     def uses(self, script: str) -> np.ndarray:
         return self.scripts.get(script, self.none)
@@ -87,9 +104,9 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
     """A model from ``docs`` (pass only rows it may learn from)."""
-    base = docs.select(F.col(id_col).cast("string").alias("_id"), text_column(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    base = docs.select(column(id_col).cast("string").alias("_id"), text_column(text_col).alias("_text"), column(lang_col).cast("string").alias("_lang"))
     base = base.where("_id IS NOT NULL AND _text IS NOT NULL AND _lang IS NOT NULL")
-    counts = {r[0]: r[1] for r in base.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in base.groupBy("_lang").count().collect()}  # one row for each language
     langs = sorted(counts)
     if not langs:
         return None
@@ -105,11 +122,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 k = number[lang]
-                for w, n in Counter(_LETTERS.findall(unicodedata.normalize("NFC", text.lower()))).items():
+                for w, n in Counter(words_of(text)).items():
                     if w not in memory:
                         if len(memory) > MEMORY // 4:
                             memory.clear()
-                        memory[w] = (np.asarray(buckets_of(w), np.int64), Counter(map(script_of, w)))
+                        memory[w] = (np.asarray(buckets_of(w), np.int64), Counter(map(script_of, letters_only(w))))
                     at, of = memory[w]
                     np.add.at(grams[k], at, n)
                     for s, m in of.items():
@@ -123,13 +140,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             names=["k", "script", "bucket", "n"],
         )
 
-    got = spread(sample.select("_text", "_lang")).mapInArrow(count, "k int, script string, bucket long, n long")
+    got = deal(sample.select("_text", "_lang")).mapInArrow(count, "k int, script string, bucket long, n long")
     got = got.groupBy("k", "script", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages times buckets at most
     c = np.zeros((len(langs), BUCKETS))
     g = got[got["bucket"] >= 0]
     c[g["k"].to_numpy(), g["bucket"].to_numpy()] = g["n"].to_numpy()
     c += 0.5
-    logp = np.log(c / c.sum(axis=1, keepdims=True)) / len(ORDERS)
+    logp = (np.log(c / c.sum(axis=1, keepdims=True)) / len(ORDERS)).astype(np.float32)
     s = got[got["bucket"] < 0]
     total = s.groupby("k")["n"].sum()
     scripts = {}
@@ -147,12 +164,14 @@ class Labeller:
         self.model, self.switch = model, switch
         self.bucket: dict[str, int] = {}
         self.script: dict[str, str] = {}
+        self.memory = max(1000, min(MEMORY, MEMORY_BYTES // (8 * len(model.langs))))
         self._clear()
 
     def _clear(self):
         self.number: dict[str, int] = {}
-        self.scores = np.zeros((4096, len(self.model.langs)))
-        self.letters = np.zeros(4096, np.int64)
+        self.scores = np.zeros((1024, len(self.model.langs)))
+        self.letters = np.zeros(1024, np.int64)
+        self.gain = np.zeros(1024)  # of the best language over even n-grams; -inf: a script of none
 
     def _learn(self, words: list[str]) -> None:
         """Remember ``words``, none of which is known."""
@@ -160,6 +179,7 @@ class Labeller:
         while first + k > len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
         if len(self.bucket) > MEMORY:
             self.bucket.clear()
         at, starts, known = [], [], self.bucket
@@ -177,6 +197,8 @@ class Labeller:
             if not w.isascii():
                 uses[i] = self._uses(w)
         rows = np.where(uses, rows, -np.inf)
+        grams = np.diff(np.asarray([*starts, len(at)]))
+        self.gain[first : first + k] = rows.max(axis=1) - grams * self.model.even
         rows = np.maximum(rows - rows.max(axis=1, keepdims=True, initial=-1e9), -20.0)
         rows[~uses.any(axis=1)] = 0.0
         self.scores[first : first + k] = rows
@@ -186,7 +208,7 @@ class Labeller:
     def _uses(self, word: str) -> np.ndarray:
         """Which languages use the scripts of ``word``."""
         out = np.zeros(len(self.model.langs), bool)
-        for c in set(word):
+        for c in set(letters_only(word)):
             s = self.script.get(c)
             if s is None:
                 s = self.script[c] = script_of(c)
@@ -229,13 +251,10 @@ class Labeller:
         return [(a, b, self.model.langs[p[a]]) for a, b in zip(ends, ends[1:])]
 
     def _numbers(self, text: str | None) -> np.ndarray:
-        text = (text or "").lower()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        words = _LETTERS.findall(text)
+        words = words_of(text)
         if not words:
             return np.zeros(0, np.int64)
-        if len(self.number) > MEMORY:
+        if len(self.number) > self.memory:
             self._clear()
         new = set(words).difference(self.number)
         if new:
@@ -244,10 +263,24 @@ class Labeller:
 
     def label(self, text: str | None) -> tuple[str, float]:
         """The language of most letters and its share of them; for a text of one language
-        the share is times the odds against the others."""
+        the share is times the odds against the others. The score of a text none of whose
+        letters is in a script of a learned language is 0."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """:meth:`label`, and whether the text is of learned languages at all: half its
+        letters or more are in their scripts, and over these its n-grams are likelier in its
+        words' best languages than if all n-grams were as frequent. Neither depends on how
+        many languages there are."""
         at = self._numbers(text)
         if not len(at):
-            return "und", 0.0
+            return "und", 0.0, False
+        gain = self.gain[at]
+        own = np.isfinite(gain)
+        known = bool(2 * self.letters[at][own].sum() >= self.letters[at].sum() and gain[own].sum() > 0)
+        return *self._label(at, own), known
+
+    def _label(self, at: np.ndarray, own: np.ndarray) -> tuple[str, float]:
         letters = self.letters[at]
         s = self.scores[at]
         by = np.bincount(self.path(s), weights=letters, minlength=len(self.model.langs))
@@ -256,29 +289,30 @@ class Labeller:
         if share == 1.0:
             sums = s.sum(axis=0)
             share = 1 / np.exp(np.minimum(sums - sums[best], 50.0)).sum()
-        return self.model.langs[best], float(min(1.0, share))
+        return self.model.langs[best], float(min(1.0, share)) if own.any() else 0.0
 
 
 def identify(
     docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, keep: list[str] | None = None
 ) -> DataFrame:
     """``(id_col, held_out, lang_pred, score)`` for each row of ``docs``. With ``keep``, the
-    named columns of ``docs`` instead of the id and held_out."""
+    named columns of ``docs`` as ``_c0`` and so on instead of the id and held_out, and
+    ``known`` besides (see :meth:`Labeller.judge`)."""
     carried = keep or [id_col]
-    picked = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)], text_column(text_col).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGS * BUCKETS doubles at most
+    picked = docs.select(*[column(c).alias(f"_c{i}") for i, c in enumerate(carried)], text_column(text_col).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 128 KB for each language
 
     def run(batches):
         own = Labeller(shared.value, switch) if shared.value is not None else None
         for b in batches:
-            out = [own.label(t) if own else ("und", 0.0) for t in b.column(len(carried)).to_pylist()]
+            out = [own.judge(t) if own else ("und", 0.0, False) for t in b.column(len(carried)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(carried)], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())],
-                names=[*b.schema.names[: len(carried)], "lang_pred", "score"],
+                [*b.columns[: len(carried)], pa.array([x for x, _, _ in out], pa.string()), pa.array([x for _, x, _ in out], pa.float64()), pa.array([x for _, _, x in out], pa.bool_())],
+                names=[*b.schema.names[: len(carried)], "lang_pred", "score", "known"],
             )
 
     kinds = dict(docs.dtypes)
-    out = spread(picked).mapInArrow(run, ", ".join([f"_c{i} {kinds[c]}" for i, c in enumerate(carried)] + ["lang_pred string", "score double"]))
+    out = deal(picked).mapInArrow(run, ", ".join([f"_c{i} {kinds[c]}" for i, c in enumerate(carried)] + ["lang_pred string", "score double", "known boolean"]))
     if keep:
         return out
     return out.select(F.col("_c0").alias(id_col), held_out(F.col("_c0")).alias("held_out"), "lang_pred", "score")
@@ -286,14 +320,15 @@ def identify(
 
 def learnable(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """The rows that a model may learn from: labelled and not held out."""
-    return docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
+    return docs.where(~held_out(column(id_col)) & column(id_col).isNotNull() & column(lang_col).isNotNull())
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.2) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of ``least`` or more; a
-    missing language is filled in."""
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are of learned languages (see :meth:`Labeller.judge`): texts
+    without letters, of other scripts or of random letters go; a missing language is
+    filled in."""
     model = learn(learnable(docs, id_col, lang_col), id_col, text_col, lang_col)
-    out = identify(docs, model, id_col, text_col, keep=docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    out = identify(docs, model, id_col, text_col, keep=docs.columns).where("known")
     cols = []
     for i, c in enumerate(docs.columns):
         x = F.coalesce(f"_c{i}", "lang_pred") if c == lang_col else F.col(f"_c{i}")

@@ -201,11 +201,10 @@ def _add_notices() -> None:
         ends = ("", "-only", "-or-later") if "GPL" in name or "GFDL" in name else ("",)
         for line in [*lines, *(f"SPDX-License-Identifier: {name}{e}" for e in ends)]:
             plain = re.sub(r"[^a-z0-9]+", " ", line.lower()).replace(" v2", " version 2").replace(" v3", " version 3").strip()
-            # Every notice must say licence, so that its line is looked up at all.
-            if "licen" in plain and plain not in seen:
+            if plain not in seen:
                 seen.add(plain)
                 LICENSES.add(f"notice:{name}", line)
-    LICENSES.add("notice:all-rights-reserved", "All rights are reserved.")
+    LICENSES.add("notice:all-rights-reserved", "All rights are reserved.", "All rights reserved.")
     LICENSES.add("notice:public-domain", "This is in the public domain.", "Public domain.", "Released into the public domain.", "This work is released into the public domain.")
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, maybe_broadcast, row_key, text_column
+from graphloom.llm.common import column, materialise, maybe_broadcast, row_key, text_column
 
 
 def boilerplate(lines: DataFrame, min_sites: int, band: float, lg_k: int) -> DataFrame:
@@ -53,7 +53,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sit
     line = F.col("line")
     exploded = (
         docs.select(
-            k1.alias("_k1"), k2.alias("_k2"), F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"),
+            k1.alias("_k1"), k2.alias("_k2"), column(id_col).alias("id"), column(site_col).cast("string").alias("site"),
             F.posexplode(F.split(text_column(text_col), "\n", -1)).alias("pos", "line"),
         )
         .where(line.rlike(r"[^\x09-\x0D\x20]"))
@@ -88,8 +88,10 @@ def dedup_lines(
     joined = keyed.join(drop, ["_k1", "_k2"], "left")
     old = F.col(f"_row.`{text_col}`").cast("string")
     gone = F.col("_drop")
-    kept = F.filter(F.split(old, "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    new = F.when(gone.isNull(), old).otherwise(F.array_join(kept, "\n"))
+    # In time by the lines of a document, not by their square: a difference of position sets.
+    places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.transform(F.array(F.split(old, "\n", -1)), lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i)), "\n"))
+    new = F.when(gone.isNull(), old).otherwise(F.get(kept, F.lit(0)))
     if not counts:
         return joined.select(F.col("_row").withField(f"`{text_col}`", new).alias("_row")).select("_row.*")
     return joined.select(

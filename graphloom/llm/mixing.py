@@ -36,12 +36,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, maybe_broadcast, row_key, text_column
+from graphloom.llm.common import column, discard, materialise, maybe_broadcast, row_key, text_column
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 CHUNK = 4096
-ROUNDS = 60
 TOLERANCE = 1e-9
 
 
@@ -90,7 +89,7 @@ def multipliers(sizes: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFram
     )
     state = materialise(state, "dual")
     x = F.col("size") / (F.col("size") + F.col("mean"))
-    for _ in range(ROUNDS):
+    while True:  # ends: a bracket that no double lies in is closed, and each step halves it or Newton's hits
         tilt = F.exp(F.least(F.col("lam") * x, F.lit(top)))
         sums = (
             counts.join(maybe_broadcast(state.where("open"), 128), "key")
@@ -101,12 +100,13 @@ def multipliers(sizes: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFram
             )
         )
         off = F.col("g") - F.col("target")
-        good = F.coalesce(F.abs(off) <= F.col("target") * TOLERANCE, ~F.col("open"))
+        narrow = F.col("hi") - F.col("lo") <= (F.abs("hi") + F.abs("lo")) * 1e-15 + 1e-12
+        good = F.coalesce((F.abs(off) <= F.col("target") * TOLERANCE) | narrow, ~F.col("open"))
         lo = F.when(off < 0, F.greatest("lo", "lam")).otherwise(F.col("lo"))
         hi = F.when(off > 0, F.least("hi", "lam")).otherwise(F.col("hi"))
         step = F.col("lam") - off / F.when(F.col("dg") > 0, F.col("dg"))
         within = F.when((step > F.col("_lo")) & (step < F.col("_hi")), step).otherwise((F.col("_lo") + F.col("_hi")) / 2)
-        state = materialise(
+        old, state = state, materialise(
             state.join(sums, "key", "left")
             .select("*", good.alias("_good"), lo.alias("_lo"), hi.alias("_hi"))
             .select(
@@ -115,8 +115,10 @@ def multipliers(sizes: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFram
             ),
             "dual",
         )
+        discard(old)
         if state.where("open").isEmpty():
             break
+    discard(counts)
     return state.select(*aims.columns, "mean", "lam")
 
 
@@ -136,29 +138,35 @@ def round_chunk(rows: pd.DataFrame, cap: int = CAP) -> pd.DataFrame:
 
 
 def _allocate(sizes: DataFrame, weights: tuple[float, ...], cap: int, chunk: int) -> DataFrame:
-    """``sizes(_id, source, key, size, _k1, _k2)`` -> with ``source_size, target, rate, copies``."""
+    """``sizes(_id, source, key, size, _k1, _k2, _r1, _r2)`` -> with ``source_size, target, rate, copies``."""
     aims = materialise(targets(sizes, weights, cap), "aims")
     solved = materialise(multipliers(sizes, aims, cap), "solved")
     x = F.col("size") / (F.col("size") + F.col("mean"))
     rate = F.when(F.col("size") > 0, F.exp(F.least(F.col("lam") * x, F.lit(math.log(cap))))).otherwise(0.0)
-    rated = sizes.drop("source").join(maybe_broadcast(solved.drop("source"), 160), "key").select(
-        "_id", "_k1", "_k2", "key", "size", "source_size", "target", rate.alias("rate"),
-        F.expr(f"pmod(_k1, cast(ceil(docs / {chunk}) as bigint))").alias("chunk"),
+    # Rows that repeat share a hash: each of them is dealt by its place in the table besides, or
+    # all copies of a row would meet in one chunk. They are alike, so it is all one which copy goes where.
+    twice = materialise(sizes.groupBy("_k1", "_k2").agg(F.count("*").alias("n")).where("n > 1").select("_k1", "_k2", F.lit(True).alias("_twice")), "twice")
+    dealt = sizes.withColumn("_place", F.monotonically_increasing_id()).join(maybe_broadcast(twice, 32), ["_k1", "_k2"], "left")
+    chunks = F.ceil(F.col("docs") / F.lit(chunk)).cast("long")
+    rated = dealt.drop("source").join(maybe_broadcast(solved.drop("source"), 160), "key").select(
+        "_id", "_k1", "_k2", "_r1", "_r2", "key", "size", "source_size", "target", rate.alias("rate"),
+        F.pmod(F.when(F.col("_twice"), F.xxhash64("_k1", "_place")).otherwise(F.col("_k1")), chunks).alias("chunk"),
     )
     kind = dict(sizes.dtypes)["_id"]
     return rated.groupBy("key", "chunk").applyInPandas(
-        lambda pdf: round_chunk(pdf, cap)[["_id", "_k1", "_k2", "size", "source_size", "target", "rate", "copies"]],
-        f"_id {kind}, _k1 long, _k2 long, size long, source_size long, target double, rate double, copies long",
+        lambda pdf: round_chunk(pdf, cap)[["_id", "_r1", "_r2", "size", "source_size", "target", "rate", "copies"]],
+        f"_id {kind}, _r1 long, _r2 long, size long, source_size long, target double, rate double, copies long",
     )
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     k1, k2 = row_key(docs, [id_col, text_col])
-    source = F.col(source_col).cast("string")
+    r1, r2 = row_key(docs)
+    source = column(source_col).cast("string")
     return materialise(
         docs.select(
-            F.col(id_col).alias("_id"), source.alias("source"), source_key(source).alias("key"),
-            word_count(text_column(text_col)).alias("size"), k1.alias("_k1"), k2.alias("_k2"),
+            column(id_col).alias("_id"), source.alias("source"), source_key(source).alias("key"),
+            word_count(text_column(text_col)).alias("size"), k1.alias("_k1"), k2.alias("_k2"), r1.alias("_r1"), r2.alias("_r2"),
         ),
         "sizes",
     )
@@ -180,8 +188,8 @@ def apply_mix(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Rows of no words, which
     no share of words can take, are left out."""
-    k1, k2 = row_key(docs, [id_col, text_col])
+    r1, r2 = row_key(docs)  # all columns: rows that differ in any are rows of their own
     taken = _allocate(_sizes(docs, id_col, text_col, source_col), weights, cap, chunk)
-    taken = materialise(taken.groupBy("_k1", "_k2").agg(F.sum("copies").alias("copies")).where("copies > 0"), "copies")
-    keyed = docs.select(F.struct("*").alias("_row"), k1.alias("_k1"), k2.alias("_k2")).dropDuplicates(["_k1", "_k2"])
-    return keyed.join(taken, ["_k1", "_k2"]).select("_row", F.explode(F.expr("sequence(1L, copies)"))).select("_row.*")
+    taken = materialise(taken.groupBy("_r1", "_r2").agg(F.sum("copies").alias("copies")).where("copies > 0"), "copies")
+    keyed = docs.select(F.struct("*").alias("_row"), r1.alias("_r1"), r2.alias("_r2")).dropDuplicates(["_r1", "_r2"])
+    return keyed.join(taken, ["_r1", "_r2"]).select("_row", F.explode(F.expr("sequence(1L, copies)"))).select("_row.*")

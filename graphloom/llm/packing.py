@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, spread, text_column
+from graphloom.llm.common import column, deal, materialise, text_column
 from graphloom.llm.tokenise import encoder
 
 LENGTH = 2048
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, vocab_file: str, length: int, end_id: int, id_col: s
                 names=["_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return spread(docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"))).mapInArrow(
+    return deal(docs.select(column(id_col).alias("_id"), text_column(text_col).alias("_text"))).mapInArrow(
         run, f"_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 
@@ -114,9 +114,10 @@ def pack(
         first = int(pdf["packer"].iloc[0]) << 40
         return pdf[["_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=[first + b for b, _ in placed], offset=[o for _, o in placed])
 
-    deal = F.xxhash64("_id", "piece", "ids_crc32")
+    # By place as well, so that a row that repeats without end isn't dealt to one packer.
+    dice = F.xxhash64("_id", "piece", "ids_crc32")
     return (
-        cut.select("*", deal.alias("_deal"), F.pmod(F.xxhash64(F.lit(3), deal), F.lit(packers)).alias("packer"))
+        cut.select("*", dice.alias("_deal"), F.pmod(F.xxhash64(F.lit(3), dice, F.monotonically_increasing_id()), F.lit(packers)).alias("packer"))
         .groupBy("packer")
         .applyInPandas(place, f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
         .withColumnRenamed("_id", id_col)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, spread, text_column
+from graphloom.llm.common import column, deal, materialise, text_column
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -112,7 +112,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     schema = ", ".join([f"_id {dict(docs.dtypes)[id_col]}", *[f"{c} long" for c in counts], *[f"{c} double" for c in FEATURES]])
-    return spread(docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"))).mapInArrow(run, schema)
+    return deal(docs.select(column(id_col).alias("_id"), text_column(text_col).alias("_text"))).mapInArrow(run, schema)
 
 
 @dataclass
@@ -204,7 +204,7 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = TREES, dept
 
 def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Trees | None:
     """Trees from a bounded sample of labelled documents; None without both kinds."""
-    y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.min(F.col(label_col).cast("int")).alias("_y"))
+    y = labels.where(column(label_col).isNotNull()).groupBy(column(id_col).alias("_lid")).agg(F.min(column(label_col).cast("int")).alias("_y"))
     rows = (
         stats.join(y, F.col("_id") == F.col("_lid"))
         .select("_id", "_y", *FEATURES)

@@ -126,21 +126,28 @@ def _license_sql() -> str:
     from graphloom.llm.license_texts import LICENSES
 
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    folded = "t"
+    # Single words by a lookup for each; pairs of words afterwards, each word between spaces of its own.
+    single = {old: new for old, new in licenses.SPELLINGS if " " not in old}
+    word = "CASE w " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in single.items()) + " ELSE w END"
+    folded = f"'  ' || array_to_string(list_transform(string_split(trim(t), ' '), lambda w: {word}), '  ') || '  '"
     for old, new in licenses.SPELLINGS:
-        folded = f"replace({folded}, ' {old} ', ' {new} ')"
-    pattern = licenses.COPYRIGHT_LINE
-    clean = rf"' ' || regexp_replace(regexp_replace(lower(coalesce(x, '')), {quote(pattern)}, ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
-    canon = lambda source: f"SELECT *, sha256(trim({folded})) AS digest FROM (SELECT *, {clean} AS t FROM ({source}))"
+        if " " in old:
+            folded = f"replace({folded}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    folded = f"trim(regexp_replace({folded}, ' +', ' ', 'g'))"
+
+    def canon(source: str, pattern: str = licenses.COPYRIGHT_LINE) -> str:
+        clean = rf"regexp_replace(regexp_replace(lower(coalesce(x, '')), {quote(pattern)}, ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
+        return f"SELECT *, sha256(folded) AS digest FROM (SELECT *, {folded} AS folded FROM (SELECT *, {clean} AS t FROM ({source})))"
+
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted(LICENSES.items()))
+    lines = "SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents"
     return f"""
 WITH known AS (
-  SELECT digest, min(license_id) AS license_id FROM ({canon(f"SELECT * FROM (VALUES {values}) v(license_id, x)")}) WHERE trim(t) <> '' GROUP BY digest
+  SELECT digest, min(license_id) AS license_id FROM ({canon(f"SELECT * FROM (VALUES {values}) v(license_id, x)")}) WHERE folded <> '' GROUP BY digest
 ), whole AS ({canon("SELECT doc_id, text AS x FROM documents")}),
 found AS (
   SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-  FROM ({canon(f"SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, {quote(licenses.ANCHOR)})")})
-  JOIN known USING (digest) GROUP BY doc_id
+  FROM ({canon(lines, licenses.COPYRIGHT_START)}) JOIN known USING (digest) GROUP BY doc_id
 )
 SELECT w.doc_id, w.digest, k.license_id, f.notices FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN found f ON w.doc_id = f.doc_id
 """

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, row_key, spread, text_column
+from graphloom.llm.common import column, deal, materialise, maybe_broadcast, row_key, text_column
 from graphloom.llm.components import connected_components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -134,14 +134,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: ``(id_col, fingerprint, component_id)``."""
     schema = f"_id {dict(docs.dtypes)[id_col]}, fp long"
     prints = materialise(
-        spread(docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"))).mapInArrow(_fingerprints(shingle), schema), "prints"
+        deal(docs.select(column(id_col).alias("_id"), text_column(text_col).alias("_text"))).mapInArrow(_fingerprints(shingle), schema), "prints"
     )
     classes = prints.groupBy("fp").agg(F.min("_id").alias("low"))
     rooted = classes.join(_rooted(prints, pair_limit), "fp")
     named = materialise(
         rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id"), "named"
     )
-    return prints.join(named, "fp").select(
+    return prints.join(maybe_broadcast(named, 32), "fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -152,7 +152,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     k1, k2 = row_key(docs)
     keyed = docs.select(F.struct("*").alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
     prints = materialise(
-        spread(docs.select(F.col(id_col).alias("_id"), k1.alias("_k1"), k2.alias("_k2"), text_column(text_col).alias("_text"))).mapInArrow(
+        deal(docs.select(column(id_col).alias("_id"), k1.alias("_k1"), k2.alias("_k2"), text_column(text_col).alias("_text"))).mapInArrow(
             _fingerprints(shingle), f"_id {dict(docs.dtypes)[id_col]}, _k1 long, _k2 long, fp long"
         ),
         "prints",

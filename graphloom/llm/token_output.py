@@ -6,11 +6,12 @@ A dataset is a folder of shards, each for a range of ids in ascending order:
     raw little-endian ids of all its documents, one after the other; two bytes each
     if the vocabulary fits, else four.
 ``shard-NNNNN.idx``
-    a header (magic, id width, rows, keys, levels), then for each row its key, null
-    mark, first id and number of ids, then the levels of the hash function, and for
-    each slot a 32-bit fingerprint of its key and the key's first row.
+    a header (magic, id width, rows, keys, levels and their bits), the levels of the
+    hash function in blocks of 64 bytes, each after the number of set bits before it,
+    for each slot a 32-bit fingerprint of its key, the number of its rows and the first
+    of them, and for each row its key, its first id and its number of ids.
 ``manifest``
-    a Parquet table of the shards: range, counts, first id of the shard.
+    a Parquet table of the shards: counts, first and last key, first id of the shard.
 
 The hash function is minimal and perfect by levels of bits: keys that alone hit a
 bit of a level are placed there, the others go on to the next level; a key's slot is
@@ -18,35 +19,51 @@ the number of set bits before its own. A lookup visits about one and a half leve
 whatever the number of keys, and the slot's fingerprint turns away most keys that
 aren't there (the key of the row settles it).
 
+:meth:`Dataset.get` finds the shard of a key in the manifest and reads by ranges: the
+header, a block of 72 bytes for each level it visits, a slot, its row, and the ids. None
+of these depends on how much a shard holds. :func:`read_tokens` looks all keys of a
+shard up in its index and takes rows and ids from the slots it returns.
+
 Executors write shards through ``pyarrow.fs`` under the shared folder; a shard is
 written under a name of its own attempt and then renamed, so a task that runs twice
-leaves one whole shard.
+leaves one whole shard. Shards are cut by bytes of text (:data:`SHARD_BYTES`), so the
+keys that one task holds are bounded too.
 
 Defined cases: a null or empty text has just the end id; null ids come last and have
 no key (they are in the rows, not in the index); rows with the same id lie side by
-side, ordered by text, and the index finds the first; an empty table gives no shards
+side, ordered by the first 64 characters of the text, then by its hash, in several
+shards if they are many, and the index finds the first; an empty table gives no shards
 and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import scratch_path, text_column
+from graphloom.llm.common import column, scratch_path, text_column
 from graphloom.llm.tokenise import encoder
 
-MAGIC = b"GLTOK001"
-_HEAD = struct.Struct("<8sIIQQI")
+MAGIC = b"GLTOK002"
+_HEAD = struct.Struct("<8sIIQQ")
 GAMMA = 2.0
+#: Bytes of text in a shard; smaller inputs have a shard a core, of a megabyte at least.
+SHARD_BYTES, LEAST_BYTES = 256 << 20, 1 << 20
+BLOCK = 512
+_LEVEL = np.dtype([("before", "<u8"), ("bits", "<u8", (BLOCK // 64,))])
+_SLOT = np.dtype([("print", "<u4"), ("rows", "<u4"), ("row", "<u8")])
+_ROW = np.dtype([("key", "<i8"), ("first", "<i8"), ("count", "<i8")])
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -61,110 +78,169 @@ def _print(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 0xF00D) >> np.uint64(32)).astype(np.uint32)
 
 
+def _levels(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, positions of its set bits) of each level for distinct 64-bit keys."""
+    left, k = keys.view(np.uint64), 0
+    while len(left):
+        m = max(8, int(GAMMA * len(left)))
+        at = (_mix(left, k) % np.uint64(m)).astype(np.int64)
+        hits = np.bincount(at, minlength=m)
+        yield m, np.flatnonzero(hits == 1)
+        left, k = left[hits[at] != 1], k + 1
+
+
 @dataclass
 class PerfectHash:
-    """Bits of each level, as bytes of 0 and 1, and the set bits before each level."""
+    """Sizes of the levels, and their blocks: set bits before each, and its bits."""
 
-    levels: list[np.ndarray]
+    sizes: list[int]
+    blocks: list[np.ndarray]
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
         """``keys`` must be distinct (signed 64-bit)."""
-        left, levels = keys.view(np.uint64), []
-        while len(left):
-            m = max(8, int(GAMMA * len(left)))
-            at = (_mix(left, len(levels)) % np.uint64(m)).astype(np.int64)
-            hits = np.bincount(at, minlength=m)
-            levels.append((hits == 1).astype(np.uint8))
-            left = left[hits[at] != 1]
-        return cls(levels)
-
-    def __post_init__(self):
-        before = 0
-        self._rank = []
-        for bits in self.levels:
-            ones = np.cumsum(bits, dtype=np.int64)
-            self._rank.append(before + ones - bits)
-            before += int(ones[-1])
+        sizes, blocks, before = [], [], 0
+        for m, ones in _levels(keys):
+            bits = np.zeros(-(-m // BLOCK) * BLOCK, np.uint8)
+            bits[ones] = 1
+            level = np.zeros(len(bits) // BLOCK, _LEVEL)
+            level["bits"] = np.packbits(bits, bitorder="little").view("<u8").reshape(len(level), -1)
+            held = bits.reshape(len(level), BLOCK).sum(axis=1, dtype=np.int64)
+            level["before"] = before + np.cumsum(held) - held
+            before += len(ones)
+            sizes.append(m)
+            blocks.append(level)
+        return cls(sizes, blocks)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; for keys not built in, any slot or -1."""
-        keys = keys.view(np.uint64)
-        out = np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
-        for k, bits in enumerate(self.levels):
+        keys = np.ascontiguousarray(keys, np.int64).view(np.uint64)
+        out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for k, (m, level) in enumerate(zip(self.sizes, self.blocks)):
             if not len(todo):
                 break
-            at = (_mix(keys[todo], k) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at] == 1
-            out[todo[hit]] = self._rank[k][at[hit]]
+            at = (_mix(keys[todo], k) % np.uint64(m)).astype(np.int64)
+            hit, slot = slot_in(level[at // BLOCK], at % BLOCK)
+            out[todo[hit]] = slot[hit]
             todo = todo[~hit]
         return out
 
 
+def slot_in(blocks: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a bit of each block: whether it is set, and the set bits before it."""
+    word, one = bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64)
+    own = np.take_along_axis(blocks["bits"], word[:, None], axis=1)[:, 0]
+    rank = blocks["before"].astype(np.int64) + np.bitwise_count(own & (one - np.uint64(1)))
+    for w in range(BLOCK // 64):
+        rank += np.where(word > w, np.bitwise_count(blocks["bits"][:, w]), 0).astype(np.int64)
+    return (own & one) != 0, rank
+
+
 def pack_index(keys: np.ndarray, null: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> bytes:
-    """The ``.idx`` bytes of a shard whose rows are in order."""
-    rows = np.flatnonzero(~null)
-    distinct, at = np.unique(keys[rows], return_index=True)
+    """The ``.idx`` bytes of a shard whose rows are in order, those without a key last."""
+    distinct, at, rows = np.unique(keys[~null], return_index=True, return_counts=True)
     mph = PerfectHash.build(distinct)
+    slots = np.zeros(len(distinct), _SLOT)
     slot = mph.slots(distinct)
-    prints, row = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
-    prints[slot], row[slot] = _print(distinct), rows[at]
-    out = [_HEAD.pack(MAGIC, width, 0, len(keys), len(distinct), len(mph.levels))]
-    out += [keys.astype("<i8").tobytes(), null.astype("u1").tobytes(), first.astype("<i8").tobytes(), count.astype("<i8").tobytes()]
-    for bits in mph.levels:
-        out += [struct.pack("<Q", len(bits)), np.packbits(bits).tobytes()]
-    return b"".join([*out, prints.tobytes(), row.tobytes()])
+    slots["print"][slot], slots["rows"][slot], slots["row"][slot] = _print(distinct), rows, at
+    table = np.zeros(len(keys), _ROW)
+    table["key"], table["first"], table["count"] = keys, first, count
+    head = _HEAD.pack(MAGIC, width, len(mph.sizes), len(keys), len(distinct))
+    return b"".join([head, np.asarray(mph.sizes, "<u8").tobytes(), *(b.tobytes() for b in mph.blocks), slots.tobytes(), table.tobytes()])
 
 
 class Shard:
-    """A shard opened for reading; :meth:`get` finds a document by its key."""
+    """A shard opened for reading by ranges; :meth:`get` finds a document by its key."""
 
     def __init__(self, fs: pafs.FileSystem, stem: str):
-        raw = _read(fs, stem + ".idx")
-        magic, self.width, _, n, k, levels = _HEAD.unpack_from(raw)
+        self._idx, self._bin = fs.open_input_file(stem + ".idx"), fs.open_input_file(stem + ".bin")
+        self.bytes_read = 0
+        magic, self.width, levels, self.n, self.k = _HEAD.unpack(self._read(self._idx, 0, _HEAD.size))
         if magic != MAGIC:
             raise ValueError(f"{stem}.idx is no token index")
-        at = _HEAD.size
-
-        def array(kind: str, size: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, kind, size, at)
-            at += out.nbytes
-            return out
-
-        self.keys, self.null, self.first, self.count = array("<i8", n), array("u1", n).astype(bool), array("<i8", n), array("<i8", n)
-        bits = []
-        for _ in range(levels):
-            (m,) = array("<u8", 1)
-            bits.append(np.unpackbits(array("u1", -(-int(m) // 8)))[: int(m)])
-        self.hash, self.prints, self.row = PerfectHash(bits), array("<u4", k), array("<u4", k)
-        self.payload = np.frombuffer(_read(fs, stem + ".bin"), "<u2" if self.width == 2 else "<u4")
-
-    def rows(self, keys: np.ndarray) -> np.ndarray:
-        """The first row of each key, -1 for keys that aren't there."""
-        keys = np.ascontiguousarray(keys, np.int64)
-        slot = self.hash.slots(keys)
-        out = np.full(len(keys), -1, np.int64)
-        ok = np.flatnonzero(slot >= 0)
-        ok = ok[self.prints[slot[ok]] == _print(keys[ok])]
-        row = self.row[slot[ok]].astype(np.int64)
-        ok, row = ok[self.keys[row] == keys[ok]], row[self.keys[row] == keys[ok]]
-        out[ok] = row
-        return out
-
-    def ids(self, row: int) -> np.ndarray:
-        a = int(self.first[row])
-        return self.payload[a : a + int(self.count[row])].astype("<u4")
+        self.sizes = np.frombuffer(self._read(self._idx, _HEAD.size, 8 * levels), "<u8").astype(np.int64)
+        held = -(-self.sizes // BLOCK) * _LEVEL.itemsize
+        self._at = _HEAD.size + 8 * levels + np.concatenate([[0], np.cumsum(held)]).astype(np.int64)
+        self._slots = int(self._at[-1])
+        self._rows = self._slots + self.k * _SLOT.itemsize
+
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._idx.close()
+        self._bin.close()
+
+    def _read(self, file, at: int, size: int) -> bytes:
+        self.bytes_read += size
+        return file.read_at(size, at)
+
+    def _table(self, kind: np.dtype, at: int, first: int = 0, n: int = 1) -> np.ndarray:
+        return np.frombuffer(self._read(self._idx, at + first * kind.itemsize, n * kind.itemsize), kind)
+
+    def slot(self, key: int) -> np.void | None:
+        """The slot of a key, None for one that isn't there (but for a rare clash of
+        fingerprints, which the row's own key tells)."""
+        one = np.asarray([key], np.int64)
+        for k, m in enumerate(self.sizes.tolist()):
+            at = int(_mix(one, k)[0]) % m
+            hit, slot = slot_in(self._table(_LEVEL, int(self._at[k]), at // BLOCK), np.asarray([at % BLOCK]))
+            if hit[0]:
+                found = self._table(_SLOT, self._slots, int(slot[0]))[0]
+                return found if found["print"] == _print(one)[0] else None
+        return None
 
     def get(self, key: int) -> np.ndarray | None:
-        row = int(self.rows(np.asarray([key]))[0])
-        return None if row < 0 else self.ids(row)
+        """The ids of the first document of that key."""
+        slot = self.slot(key)
+        if slot is None:
+            return None
+        row = self._table(_ROW, self._rows, int(slot["row"]))[0]
+        if row["key"] != key:
+            return None
+        got = self._read(self._bin, int(row["first"]) * self.width, int(row["count"]) * self.width)
+        return np.frombuffer(got, f"<u{self.width}").astype("<u4")
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """All rows, in order, as the index finds them: each key of the shard is looked up,
+        and its slot says which rows are its own. And for each, whether it has a key."""
+        table = self._table(_ROW, self._rows, 0, self.n)
+        blocks = [self._table(_LEVEL, int(a), 0, -(-m // BLOCK)) for a, m in zip(self._at[:-1], self.sizes.tolist())]
+        slots = self._table(_SLOT, self._slots, 0, self.k)
+        keyed = int(slots["rows"].sum())
+        keys = np.unique(table["key"][:keyed])
+        at = PerfectHash(self.sizes.tolist(), blocks).slots(keys)
+        if len(keys) != self.k or (at < 0).any() or (slots["print"][at] != _print(keys)).any():
+            raise ValueError("a key isn't in its index")
+        own = slots[at]
+        place = np.repeat(own["row"].astype(np.int64), own["rows"]) + np.arange(keyed) - np.repeat(np.cumsum(own["rows"]) - own["rows"], own["rows"]).astype(np.int64)
+        rows = table[place]
+        if (rows["key"] != np.repeat(keys, own["rows"])).any():
+            raise ValueError("the index names rows of other keys")
+        return np.concatenate([rows, table[keyed:]]), np.arange(self.n) < keyed
+
+    def ids(self, row: np.void) -> bytes:
+        """The ids of a row as unsigned 32-bit integers."""
+        got = self._read(self._bin, int(row["first"]) * self.width, int(row["count"]) * self.width)
+        return got if self.width == 4 else np.frombuffer(got, "<u2").astype("<u4").tobytes()
+
+
+class Dataset:
+    """A folder of shards: finds a document's ids by its key."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._fs, self._base = open_folder(folder)
+        rows = read_manifest(spark, folder).where("first_key IS NOT NULL").orderBy("shard").collect()  # one for each shard
+        self._last, self._shards = [r.last_key for r in rows], [(r.first_key, r.name) for r in rows]
 
-
-def _read(fs: pafs.FileSystem, path: str) -> bytes:
-    with fs.open_input_stream(path) as f:
-        return f.read()
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the first document of ``key``, read from one shard; None if there is
+        none."""
+        at = bisect.bisect_left(self._last, key)
+        if at == len(self._last) or self._shards[at][0] > key:
+            return None
+        with Shard(self._fs, f"{self._base}/{self._shards[at][1]}") as shard:
+            return shard.get(key)
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -199,60 +275,68 @@ def _shard_writer(folder: str, vocab_file: str, end_id: int, width: int):
             f.write(pack_index(key, null, np.cumsum(count) - count, count, width))
         for kind in (".bin", ".idx"):
             fs.move(part + kind, f"{base}/{name}{kind}")
-        yield pa.RecordBatch.from_pydict(
-            {"shard": pa.array([task.partitionId()], pa.int32()), "name": [name], "docs": pa.array([len(keys)], pa.int64()), "ids": pa.array([int(count.sum())], pa.int64())}
-        )
+        own = key[~null]
+        ends = [own[0], own[-1]] if len(own) else [None, None]
+        row = [task.partitionId(), name, len(keys), int(count.sum()), *ends]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 4))], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
     return run
 
 
-def write_tokens(
-    docs: DataFrame, vocab_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None
-) -> DataFrame:
-    """Write ``docs`` to ``folder`` and return its manifest ``(shard, name, docs, ids, start)``.
+MANIFEST = "shard int, name string, docs long, ids long, first_key long, last_key long"
 
-    ``shards`` defaults to ``spark.sql.shuffle.partitions``: at scale choose it so that
-    a shard has some 100 MB of text.
-    """
+
+def write_tokens(
+    docs: DataFrame, vocab_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
+    shards: int | None = None, shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
+    """Write ``docs`` to ``folder`` and return its manifest, ``start`` included: the ids before
+    each shard. ``shards`` defaults to as many as hold ``shard_bytes`` of text each."""
     spark = docs.sparkSession
     width = 2 if max(encoder(vocab_file).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col("_id").asc_nulls_last()
+    text = text_column(text_col)
+    if shards is None:
+        size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
+        shards = max(1, math.ceil(size / shard_bytes), min(spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES)))
+    order = [F.col("_id").asc_nulls_last(), "_start", "_hash", "_place"]  # an id's rows can lie in several shards
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("_id"), text_column(text_col).alias("_text"))
-        .repartitionByRange(n, key)
-        .sortWithinPartitions(key, "_text")
-    )
-    written = ordered.mapInArrow(_shard_writer(folder, vocab_file, end_id, width), "shard int, name string, docs long, ids long")
-    written.write.parquet(f"{folder}/manifest")
+        docs.select(
+            column(id_col).cast("long").alias("_id"), text.alias("_text"), F.substring(text, 1, 64).alias("_start"), F.xxhash64(text).alias("_hash"),
+            F.monotonically_increasing_id().alias("_place"),
+        )
+        .repartitionByRange(shards, *order)
+        .sortWithinPartitions(*order)
+        .select("_id", "_text")
+    )
+    ordered.mapInArrow(_shard_writer(folder, vocab_file, end_id, width), MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
-def read_manifest(spark, folder: str) -> DataFrame:
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each shard, with the ids before it; ordered by shard number alone."""
-    m = spark.read.schema("shard int, name string, docs long, ids long").parquet(f"{folder}/manifest")
+    m = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     return m.select("*", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("start"))
 
 
 def read_tokens(manifest: DataFrame, folder: str, id_col: str = "doc_id", ids: bool = False) -> DataFrame:
     """``(id_col, start, n_tokens, ids_crc32)`` of each document, read from the shards; with
-    ``ids`` also the ids. Each key is looked up through the shard's index."""
+    ``ids`` also the ids. Rows and places of ids are those that the index gives for each key."""
+    names = [id_col, "start", "n_tokens", "ids_crc32", *["ids"] * ids]
 
     def run(batches):
         fs, base = open_folder(folder)
         for b in batches:
             for name, start in zip(b.column("name").to_pylist(), b.column("start").to_pylist()):
-                shard = Shard(fs, f"{base}/{name}")
-                found = shard.rows(shard.keys)
-                if not ((shard.keys[found] == shard.keys) & (found >= 0) | shard.null).all():
-                    raise ValueError(f"{name}: a key isn't in its index")
-                own = [shard.ids(r) for r in range(len(shard.keys))]
-                cols = [
-                    pa.array(shard.keys, pa.int64(), mask=shard.null), pa.array(shard.first + start, pa.int64()), pa.array(shard.count, pa.int64()),
-                    pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
-                ]
-                names = [id_col, "start", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x.tolist() for x in own], pa.list_(pa.int64()))] if ids else cols, names=[*names, "ids"] if ids else names)
+                with Shard(fs, f"{base}/{name}") as shard:
+                    rows, keyed = shard.found()
+                    for at in range(0, len(rows), 4096):
+                        some = rows[at : at + 4096]
+                        own = [shard.ids(r) for r in some]
+                        cols = [
+                            pa.array(some["key"], pa.int64(), mask=~keyed[at : at + 4096]), pa.array(some["first"] + start, pa.int64()), pa.array(some["count"], pa.int64()),
+                            pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                        ]
+                        yield pa.RecordBatch.from_arrays([*cols, *[pa.array([np.frombuffer(x, "<u4") for x in own], pa.list_(pa.int64()))] * ids], names=names)
 
     schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,12 +10,16 @@ asked; other words take its whole way. Texts for which that need not hold (speci
 tokens, vertical tabs, text that lower-casing takes out of NFC) go to the library
 whole. Tests hold the result against the library's encoding of whole texts.
 
+All this holds only for the normaliser and the pre-tokenizer that :data:`ASSUMED` states.
+A vocabulary with any other is never cut up: the library encodes its texts whole.
+
 The memory is two generations of at most ``MEMORY`` words: when the young one is
 full it becomes the old one, whose words are taken over as they come up again.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -26,6 +30,23 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for
 from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
 MEMORY = 700_000
+#: What the shortcut takes for granted of a tokenizer file (fixed values of its format).
+ASSUMED = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 _TAIL = re.compile(rb"(?<=[a-z0-9])([.,!]+)(?=[ \n])")
 
 
@@ -45,6 +66,9 @@ class WordEncoder:
 
     def __init__(self, vocab_file: str):
         self.tokenizer = Tokenizer.from_file(vocab_file)
+        parts = json.loads(self.tokenizer.to_str())
+        # Added tokens are looked for before all else, so a text with a mark of one goes whole.
+        self.by_words = all(parts.get(k) == v for k, v in ASSUMED.items()) and all(t["content"].startswith("<|") for t in parts["added_tokens"])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -68,6 +92,8 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.by_words:
+            return self._whole(text)
         raw = text.encode()
         if b"<|" in raw or b"\x0b" in raw or b"\x0c" in raw:
             return self._whole(text)

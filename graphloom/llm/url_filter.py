@@ -2,10 +2,11 @@
 
 Listed canonical URLs set one bit in each of the eight 32-bit words of one
 256-bit block, chosen by hash. The filter is a table of blocks, built by ``bit_or``
-aggregation, with at most ``max_blocks`` rows however long the list is, so its
-broadcast is bounded; a longer list only lets more false hits through. Pages whose
+aggregation; it grows with the list, so its share of false hits is the same for any
+list. Its counted size decides whether it is broadcast or joined by block. Pages whose
 bits are all set go on to an exact hash join on the canonical URL itself, which
-removes false hits. Other pages are never shuffled.
+removes false hits; pages that the filter has cleared carry a key of their own there
+that no URL has, spread by hash.
 
 Rules come first: a rule fits its host and all subdomains if the path starts with
 the rule's; the longest rule decides. Only pages without a rule get the list's
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise
+from graphloom.llm.common import column, materialise, maybe_broadcast
 
 WORDS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,7 +84,7 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
 
 def judge(
     pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url",
-    bits_per_url: int = 16, max_blocks: int = 1 << 17,
+    bits_per_url: int = 16,
 ) -> DataFrame:
     """``(id_col, host, path, rule, verdict, canonical_url, listed)`` for each page.
 
@@ -92,24 +93,24 @@ def judge(
     """
     list_ = materialise(listed.select(canonical(F.col("url").cast("string")).alias("canon")).where("canon IS NOT NULL").distinct(), "listed")
     n = list_.count()
-    blocks = max(1, min(max_blocks, math.ceil(n * bits_per_url / (32 * WORDS))))
+    blocks = max(1, math.ceil(n * bits_per_url / (32 * WORDS)))
     bloom = materialise(build_filter(list_, blocks), "bloom")
-    url = F.col(url_col).cast("string")
+    url = column(url_col).cast("string")
     host, path = host_of(url), path_of(url)
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
-    base = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), canonical(url).alias("canonical_url"))
+    base = pages.select(column(id_col).alias("_id"), host.alias("host"), path.alias("path"), canonical(url).alias("canonical_url"))
     base = base.select("*", rule.alias("rule"), ruled.alias("_ruled"), *[m.alias(f"_m{i}") for i, m in enumerate(_masks("canonical_url"))])
     hit = F.lit(True)
     for i in range(WORDS):
         hit = hit & (F.col(f"w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"))
     probed = (
         base.withColumn("block", _block("canonical_url", blocks))
-        .join(F.broadcast(bloom), "block", "left")  # at most max_blocks rows of nine longs
-        .select(id_col, "host", "path", "rule", "_ruled", "canonical_url", (F.col("canonical_url").isNotNull() & F.coalesce(hit, F.lit(False))).alias("_maybe"))
+        .join(maybe_broadcast(bloom, 88), "block", "left")
+        .select("_id", "host", "path", "rule", "_ruled", "canonical_url", (F.col("canonical_url").isNotNull() & F.coalesce(hit, F.lit(False))).alias("_maybe"))
     )
-    exact = list_.select("canon", F.lit(True).alias("_in"))
-    passed = probed.where("_maybe").join(exact, F.col("canonical_url") == F.col("canon"), "left")
-    out = passed.select(id_col, "host", "path", "rule", "_ruled", "canonical_url", F.coalesce("_in", F.lit(False)).alias("listed"))
-    clear = probed.where("NOT _maybe").select(id_col, "host", "path", "rule", "_ruled", "canonical_url", F.lit(False).alias("listed"))
+    exact = maybe_broadcast(list_.select("canon", F.lit(True).alias("_in")), 160, n)
+    # No canonical URL begins with a slash.
+    key = F.when(F.col("_maybe"), F.col("canonical_url")).otherwise(F.concat(F.lit("/"), F.pmod(F.xxhash64("_id", "path"), F.lit(1 << 20)).cast("string")))
+    out = probed.withColumn("_key", key).join(exact, F.col("_key") == F.col("canon"), "left").withColumn("listed", F.coalesce("_in", F.lit(False)))
     verdict = F.coalesce("_ruled", F.when(F.col("listed"), "block").otherwise("allow"))
-    return out.union(clear).select(id_col, "host", "path", "rule", verdict.alias("verdict"), "canonical_url", "listed")
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "canonical_url", "listed")

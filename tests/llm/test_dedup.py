@@ -124,6 +124,20 @@ def test_near_copies_stage_by_all_pairs(spark, documents, empty):
     assert near_copies.dedup(empty).count() == 0
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Far more of one base than a key pairs off: all of them are one group still."""
+    rng = random.Random(3)
+    base = ["w%d" % rng.randrange(10_000) for _ in range(300)]
+    rows = []
+    for i in range(1500):
+        own = list(base)
+        for k in rng.sample(range(300), 4):
+            own[k] = "x%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows + [(5000, "quite another text " * 9)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.dedup(df).collect()) == [0, 5000]
+
+
 def test_near_copies_odd_rows(odd):
     kept = near_copies.dedup(odd)
     assert kept.columns == odd.columns
@@ -154,6 +168,20 @@ def lines_by_hand(rows, least=5):
     return sorted(out, key=str)
 
 
+def test_a_document_of_many_boilerplate_lines(spark):
+    long = "\n".join(f"line {i}" for i in range(100_000))
+    df = spark.createDataFrame([(i, long, f"s{i}") for i in range(5)] + [(9, "own", "s1")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df, counts=True).collect()}
+    assert got == {0: (100_000, 0), **{i: (100_000, 100_000) for i in range(1, 5)}, 9: (1, 0)}
+
+
+def test_small_ids_and_dotted_names(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, None)], "`doc.id` short, `the.text` string")
+    out = fingerprints.edit_trial(df, "doc.id", "the.text")
+    assert out.count() == 3 and dict(out.dtypes)["doc.id"] == "smallint"
+    assert simhash.components(df, "doc.id", "the.text").count() == 3
+
+
 @pytest.mark.parametrize("least", [2, 5])
 def test_line_dedup(documents, odd, empty, least):
     for df in (documents, odd):

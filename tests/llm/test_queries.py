@@ -47,7 +47,10 @@ def test_pipeline_stages(spark, sf, tmp_path):
         if name == "lines":
             assert after.count() == before.count()
         if name == "near_copies":
-            assert after.count() == queries.simhash.components(before).select("component_id").distinct().count()
+            assert after.count() < before.count()
+            from test_dedup import near_by_hand
+
+            assert sorted(r.doc_id for r in after.collect()) == near_by_hand([(r.doc_id, r.text) for r in before.collect()])
         before = after
     packed = before.collect()
     by = {}

@@ -179,10 +179,54 @@ def test_round_trip(documents, odd, empty, vocab):
 def test_keyed_access(spark, documents, texts, vocab, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     manifest = token_output.write_tokens(documents, vocab, folder, shards=4)
-    fs, base = token_output.open_folder(folder)
-    shards = [token_output.Shard(fs, f"{base}/{r.name}") for r in manifest.collect()]
+    data = token_output.Dataset(spark, folder)
     want = dict(zip(texts, whole(vocab, texts.values())))
-    found = {k: [s.get(k) for s in shards if s.get(k) is not None] for k in list(want)[::9]}
-    assert all(len(x) == 1 and x[0].tolist() == want[k] + [1] for k, x in found.items())
-    assert all(s.get(k) is None for s in shards for k in (-1, 10**12, 7**20))
-    assert token_output.read_tokens(manifest, folder, ids=True).count() == len(want)
+    assert all(data.get(k).tolist() == want[k] + [1] for k in list(want)[::9])
+    assert all(data.get(k) is None for k in (-1, 10**12, 7**20))
+    got = {r.doc_id: r.ids for r in token_output.read_tokens(manifest, folder, ids=True).collect()}
+    assert got == {k: [*x, 1] for k, x in want.items()}
+
+
+def test_repeats_are_dealt_over_chunks_and_packers(spark, vocab):
+    df = spark.range(20_000).selectExpr("1L AS doc_id", "'one row again and again' AS text", "'s' AS source")
+    mixed = mixing.mix(df)
+    assert mixed.agg({"taken": "sum"}).first()[0] == pytest.approx(100_000, rel=1e-3)
+    packed = packing.pack(df, vocab, per_packer=1000)
+    assert packed.count() == 20_000 and packed.selectExpr("shiftright(sequence_id, 40)").distinct().count() == 20
+
+
+def test_a_lookup_reads_little_whatever_the_shard_holds(tmp_path):
+    from pyarrow import fs as pafs
+
+    fs, read = pafs.LocalFileSystem(), {}
+    for n in (1_000, 200_000):
+        keys = np.arange(n, dtype=np.int64) * 7 - 1000
+        count = np.full(n, 3)
+        (tmp_path / f"s{n}.idx").write_bytes(token_output.pack_index(keys, np.zeros(n, bool), np.cumsum(count) - count, count, 4))
+        (tmp_path / f"s{n}.bin").write_bytes(np.arange(3 * n, dtype="<u4").tobytes())
+        most = 0
+        for k in range(0, n, n // 50):
+            with token_output.Shard(fs, f"{tmp_path}/s{n}") as shard:
+                assert shard.get(int(keys[k])).tolist() == [3 * k, 3 * k + 1, 3 * k + 2]
+                most = max(most, shard.bytes_read)
+                assert shard.get(int(keys[k]) + 1) is None
+        read[n] = most
+    assert max(read.values()) < 1500
+
+
+def test_rows_of_one_id_lie_in_several_shards(spark, vocab, tmp_path):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "'one text' AS text")
+    folder = f"file://{tmp_path}/hot"
+    manifest = token_output.write_tokens(df, vocab, folder, shards=8)
+    assert max(r.docs for r in manifest.collect()) < 600
+    assert sorted(r.doc_id for r in token_output.read_tokens(manifest, folder).collect()) == sorted(r.doc_id for r in df.collect())
+    assert token_output.Dataset(spark, folder).get(7) is not None
+
+
+def test_other_vocabularies_are_encoded_whole(texts):
+    import public_tokenizers
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    some = [*ODD_TEXTS, "Hello World", *list(texts.values())[:20]]
+    enc = tokenise.WordEncoder(other)
+    assert not enc.by_words and [enc.encode(t) for t in some] == [np.asarray(x, "<u4").tobytes() for x in whole(other, some)]
