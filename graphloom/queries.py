@@ -597,3 +597,80 @@ def range_join(g):
     c = g.tables("customer").select(F.col("c_custkey").alias("a"), (F.col("c_acctbal") - 1).alias("lo"), (F.col("c_acctbal") + 1).alias("hi"))
     s = g.tables("supplier").select(F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("x"))
     return joins.range_join(s, c, "x", "lo", "hi", 2).select("a", "b")
+
+
+# the language's expressions, library calls and statements
+
+
+def _lang(text: str, key: str, *names: str):
+    """A query in text; its result is the key and the named variables of each row."""
+    def run(g):
+        df = run_text(g, text).df()
+        return df.select(key, *[F.col(f"`${n}`").alias(n) for n in names])
+
+    return run
+
+
+def _register(name: str, text: str, key: str, sql: str, *names: str) -> None:
+    fn = _lang(text, key, *names)
+    fn.__name__ = name
+    query(sql)(fn)
+
+
+_register("lang_arith", "part $a=$(:size / 7) $b=$(-:size % 7) $c=$((:size + 1) * 2 - 3) $d=$(:retailprice / 2) $e=$(:size ** 2)", "p_partkey",
+    "SELECT p_partkey, p_size // 7 AS a, ((-p_size % 7) + 7) % 7 AS b, (p_size + 1) * 2 - 3 AS c, p_retailprice / 2 AS d, p_size::DOUBLE * p_size AS e FROM part", "a", "b", "c", "d", "e")
+_register("lang_logic", "part $a=$(:size > 10 and not :brand = 'Brand#13') $b=$(:type ~= 'econ' or :size <= 3) $c=$(:brand ^= 'Brand#2') +$($a or $b)", "p_partkey",
+    """SELECT * FROM (SELECT p_partkey, p_size > 10 AND NOT p_brand = 'Brand#13' AS a, regexp_matches(p_type, '(?i)econ') OR p_size <= 3 AS b, starts_with(p_brand, 'Brand#2') AS c FROM part) WHERE a OR b""", "a", "b", "c")
+_register("lang_format", "customer $n=(3) $t=`{:name} of {:mktsegment}: {$n + 1}`", "c_custkey",
+    "SELECT c_custkey, c_name || ' of ' || c_mktsegment || ': 4' AS t FROM customer", "t")
+_register("lang_text", "customer $s=$node.props.get(name) $a=$s.upper() $b=$s.slice(0, 4) $c=$s.replace('Customer', 'C') $d=$s.rjust(30, '.') $e=$s.find('#') $f=$s.split('#') $g=$s.startswith('Cust') $h=$s.endswith('7') $i=$s.reverse() $j=$s.size() $k=$s.strip('C0') $l=$s.ljust(20, '-')", "c_custkey",
+    """SELECT c_custkey, upper(c_name) AS a, left(c_name, 4) AS b, replace(c_name, 'Customer', 'C') AS c, lpad(c_name, 30, '.') AS d, position('#' IN c_name) - 1 AS e,
+    string_split(c_name, '#') AS f, starts_with(c_name, 'Cust') AS g, ends_with(c_name, '7') AS h, reverse(c_name) AS i, length(c_name) AS j, trim(c_name, 'C0') AS k, rpad(c_name, 20, '-') AS l FROM customer""",
+    "a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l")
+_register("lang_regex", "part $a=$lib.regex.matches('^Br', :brand) $b=$lib.regex.replace('[0-9]+', 'N', :brand) $c=$lib.regex.findall('[A-Z]', :type)", "p_partkey",
+    "SELECT p_partkey, regexp_matches(p_brand, '^Br') AS a, regexp_replace(p_brand, '[0-9]+', 'N', 'g') AS b, regexp_extract_all(p_type, '[A-Z]') AS c FROM part", "a", "b", "c")
+_register("lang_list", "part $w=$(:type).split(' ') $a=$w.size() $b=$w.index(0) $c=$w.has('STEEL') $d=$w.slice(1) $e=$lib.sorted($w) $f=$w.reverse() $g=$w.append('x') $h=$w.extend((['y', 'z'])).size() $i=$lib.str.join('/', $w) $j=$w.unique().size()", "p_partkey",
+    """SELECT p_partkey, len(w) AS a, w[1] AS b, list_contains(w, 'STEEL') AS c, w[2:] AS d, list_sort(w) AS e, list_reverse(w) AS f, list_append(w, 'x') AS g, len(w) + 2 AS h, array_to_string(w, '/') AS i, len(list_distinct(w)) AS j
+    FROM (SELECT *, string_split(p_type, ' ') AS w FROM part)""", "a", "b", "c", "d", "e", "f", "g", "h", "i", "j")
+_register("lang_bytes", "customer $b=$node.repr().encode() $a=$lib.crypto.hashes.md5($b) $c=$lib.crypto.hashes.sha256($b) $d=$lib.hex.encode($b) $e=$lib.base64.encode($b) $f=$lib.hex.decode($d).decode() $g=$b.gzip().gunzip().decode()", "c_custkey",
+    "SELECT c_custkey, md5(k) AS a, sha256(k) AS c, lower(hex(k)) AS d, replace(replace(to_base64(k::BLOB), '+', '-'), '/', '_') AS e, k AS f, k AS g FROM (SELECT *, c_custkey::VARCHAR AS k FROM customer)", "a", "c", "d", "e", "f", "g")
+_register("lang_time", "orders $t=$lib.time.parse($node.props.get(date).tostr(), '%Y-%m-%d %H:%M:%S') $a=$lib.time.year($t) $b=$lib.time.month($t) $c=$lib.time.day($t) $d=$lib.time.format($t, '%Y/%m/%d') $e=$lib.time.dayofyear($t) $f=$lib.time.hour($t) $g=$lib.time.dayofweek($t)", "o_orderkey",
+    "SELECT o_orderkey, year(o_orderdate) AS a, month(o_orderdate) AS b, day(o_orderdate) AS c, strftime(o_orderdate, '%Y/%m/%d') AS d, dayofyear(o_orderdate) - 1 AS e, hour(o_orderdate) AS f, isodow(o_orderdate) - 1 AS g FROM orders", "a", "b", "c", "d", "e", "f", "g")
+_register("lang_node", "customer $a=$node.form() $b=$node.value() $c=$node.repr(name) $d=$node.ndef() $e=$node.iden() $f=$node.isform(customer) $g=$lib.len($d) $h=$lib.max(:nationkey, 12) $i=$lib.min(:nationkey, 12)", "c_custkey",
+    "SELECT c_custkey, 'customer' AS a, c_custkey AS b, c_name AS c, ['customer', c_custkey::VARCHAR] AS d, sha256('customer' || chr(0) || c_custkey::VARCHAR) AS e, true AS f, 2 AS g, greatest(c_nationkey, 12) AS h, least(c_nationkey, 12) AS i FROM customer",
+    "a", "b", "c", "d", "e", "f", "g", "h", "i")
+_register("lang_tags", "orders +#status $t=$node.tags('status.*') $u=$node.globtags('status.*')", "o_orderkey",
+    "SELECT o_orderkey, ['status.' || lower(o_orderstatus)] AS t, [lower(o_orderstatus)] AS u FROM orders", "t", "u")
+_register("lang_if", "$z=none part if $(:size > 40) { $z=big } elif $(:size > 20) { $z=`mid {:size}` } $y=$($z != 'none')", "p_partkey",
+    "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'big' WHEN p_size > 20 THEN 'mid ' || p_size ELSE 'none' END AS z, p_size > 20 AS y FROM part", "z", "y")
+_register("lang_switch", "orders switch $lib.str.concat(:status, '!') { 'F!': { $w=fin } 'O!': { $w=open } *: { $w=other } }", "o_orderkey",
+    "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'fin' WHEN 'O' THEN 'open' ELSE 'other' END AS w FROM orders", "w")
+_register("lang_for_rows", "part for $w in $(:type.split(' ')) { $l=$w.lower() }", "p_partkey",
+    "SELECT p_partkey, w, lower(w) AS l FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w FROM part)", "w", "l")
+_register("lang_destructure", "part ($a, $b)=$(:brand.split('#')) ($c, $d)=(10, 20) $e=$($b + $c * $d)", "p_partkey",
+    "SELECT p_partkey, string_split(p_brand, '#')[1] AS a, string_split(p_brand, '#')[2] AS b, string_split(p_brand, '#')[2]::DOUBLE + 200 AS e FROM part", "a", "b", "e")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 9000 AND c_nationkey IN (1, 3, 5, 7)")
+def lang_functions(g):
+    """A function that returns, one that emits, one that yields nodes; loops with break and continue."""
+    out = run_text(g, """
+        function twice(x) { return(($x * 2)) }
+        function odd(n) { $i=(0) while (true) { $i=($i + 1) if ($i > $n) { break } if ($i % 2 = 0) { continue } emit $i } }
+        function rich(least) { customer:acctbal>$least }
+        $keys=([]) for $k in $odd(7) { $keys.append($k) }
+        yield $rich($twice(4500)) +:nationkey*in=$keys
+    """)
+    return out.df().select("c_custkey")
+
+
+@query("SELECT p_partkey, 'caught no such part' AS mesg, 10 AS total, 'b' AS top, 3 AS n, 9 AS d FROM part WHERE p_size = 1")
+def lang_driver(g):
+    """Statements over constants: init, try, for, tallies, dicts; their values end up on rows."""
+    return _lang("""
+        $mesg=none $total=(0) $tally=$lib.stats.tally() init { $n=(3) }
+        try { $lib.raise(NoPart, 'no such part') } catch (Other, NoPart) as e { $mesg=`caught {$e.mesg}` }
+        for $i in $lib.range(5) { $total=($total + $i) }
+        for ($k, $v) in ([['a', 1], ['b', 5], ['a', 2]]) { $tally.inc($k, $v) }
+        $top=$tally.sorted(reverse=(true)).0.0
+        $own=({'x': 1, 'list': ([5, 7])}) $own.more = 2 $own.gone = 1 $lib.dict.pop($own, gone) $sum=($own.list.1 + $own.more)
+        part:size=1 if $(:size = 1) { $mesg=$mesg $total=$total $top=$top $n=$n $d=$sum }
+    """, "p_partkey", "mesg", "total", "top", "n", "d")(g)
