@@ -276,11 +276,16 @@ class Labeller:
         if not len(at):
             return "und", 0.0, False
         gain = self.gain[at]
+        total = gain.sum()
+        if total > -np.inf:  # every word is in a script of some language
+            return *self._label(at), bool(total > 0)
         own = np.isfinite(gain)
-        known = bool(2 * self.letters[at][own].sum() >= self.letters[at].sum() and gain[own].sum() > 0)
-        return *self._label(at, own), known
+        letters = self.letters[at]
+        known = bool(2 * letters[own].sum() >= letters.sum() and gain[own].sum() > 0)
+        lang, score = self._label(at)
+        return lang, score if own.any() else 0.0, known
 
-    def _label(self, at: np.ndarray, own: np.ndarray) -> tuple[str, float]:
+    def _label(self, at: np.ndarray) -> tuple[str, float]:
         letters = self.letters[at]
         s = self.scores[at]
         by = np.bincount(self.path(s), weights=letters, minlength=len(self.model.langs))
@@ -289,7 +294,7 @@ class Labeller:
         if share == 1.0:
             sums = s.sum(axis=0)
             share = 1 / np.exp(np.minimum(sums - sums[best], 50.0)).sum()
-        return self.model.langs[best], float(min(1.0, share)) if own.any() else 0.0
+        return self.model.langs[best], float(min(1.0, share))
 
 
 def identify(
