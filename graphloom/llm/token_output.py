@@ -59,7 +59,7 @@ MAGIC = b"GLTOK002"
 _HEAD = struct.Struct("<8sIIQQ")
 GAMMA = 2.0
 #: Bytes of text in a shard; smaller inputs have a shard a core, of a megabyte at least.
-SHARD_BYTES, LEAST_BYTES = 256 << 20, 1 << 20
+SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 BLOCK = 512
 _LEVEL = np.dtype([("before", "<u8"), ("bits", "<u8", (BLOCK // 64,))])
 _SLOT = np.dtype([("print", "<u4"), ("rows", "<u4"), ("row", "<u8")])
@@ -219,10 +219,12 @@ class Shard:
             raise ValueError("the index names rows of other keys")
         return np.concatenate([rows, table[keyed:]]), np.arange(self.n) < keyed
 
-    def ids(self, row: np.void) -> bytes:
-        """The ids of a row as unsigned 32-bit integers."""
-        got = self._read(self._bin, int(row["first"]) * self.width, int(row["count"]) * self.width)
-        return got if self.width == 4 else np.frombuffer(got, "<u2").astype("<u4").tobytes()
+    def ids(self, rows: np.ndarray) -> list[bytes]:
+        """The ids of rows that lie near each other, as unsigned 32-bit integers; one read for all."""
+        first, end = rows["first"] - rows["first"].min(), int((rows["first"] + rows["count"]).max())
+        got = self._read(self._bin, int(rows["first"].min()) * self.width, (end - int(rows["first"].min())) * self.width)
+        all_ = memoryview(got if self.width == 4 else np.frombuffer(got, "<u2").astype("<u4").tobytes())
+        return [all_[a : a + n] for a, n in zip((4 * first).tolist(), (4 * rows["count"]).tolist())]
 
 
 class Dataset:
@@ -329,11 +331,11 @@ def read_tokens(manifest: DataFrame, folder: str, id_col: str = "doc_id", ids: b
             for name, start in zip(b.column("name").to_pylist(), b.column("start").to_pylist()):
                 with Shard(fs, f"{base}/{name}") as shard:
                     rows, keyed = shard.found()
-                    for at in range(0, len(rows), 4096):
-                        some = rows[at : at + 4096]
-                        own = [shard.ids(r) for r in some]
+                    for at in range(0, len(rows), 1024):
+                        some = rows[at : at + 1024]
+                        own = shard.ids(some)
                         cols = [
-                            pa.array(some["key"], pa.int64(), mask=~keyed[at : at + 4096]), pa.array(some["first"] + start, pa.int64()), pa.array(some["count"], pa.int64()),
+                            pa.array(some["key"], pa.int64(), mask=~keyed[at : at + 1024]), pa.array(some["first"] + start, pa.int64()), pa.array(some["count"], pa.int64()),
                             pa.array([zlib.crc32(x) for x in own], pa.int64()),
                         ]
                         yield pa.RecordBatch.from_arrays([*cols, *[pa.array([np.frombuffer(x, "<u4") for x in own], pa.list_(pa.int64()))] * ids], names=names)
