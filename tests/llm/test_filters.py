@@ -290,4 +290,4 @@ def test_scripts_narrow(spark):
     rows = [(i, "привет мир как дела" if i % 2 else "hello world how are you", "ru" if i % 2 else "en") for i in range(40)]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     own = langid.Labeller(model)
-    assert own.label("мир привет xyz")[0] == "ru" and own.label("漢字")[1] == 0 and own.label("123 !")[0] == "und"
+    assert own.label("мир привет xyz")[0] == "ru" and own.label("漢字")[1] <= 1 and own.label("漢字")[1] == 0 and own.label("123 !")[0] == "und"

@@ -177,6 +177,18 @@ def test_round_trip(documents, odd, empty, vocab):
 
 
 def test_keyed_access(spark, documents, texts, vocab, tmp_path):
+    folder = f"file://{tmp_path}/tokens"
+    manifest = token_output.write_tokens(documents, vocab, folder, shards=4)
+    fs, base = token_output.open_folder(folder)
+    shards = [token_output.Shard(fs, f"{base}/{r.name}") for r in manifest.collect()]
+    want = dict(zip(texts, whole(vocab, texts.values())))
+    found = {k: [s.get(k) for s in shards if s.get(k) is not None] for k in list(want)[::9]}
+    assert all(len(x) == 1 and x[0].tolist() == want[k] + [1] for k, x in found.items())
+    assert all(s.get(k) is None for s in shards for k in (-1, 10**12, 7**20))
+    assert token_output.read_tokens(manifest, folder, ids=True).count() == len(want)
+
+
+def test_keyed_access_by_dataset(spark, documents, texts, vocab, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     manifest = token_output.write_tokens(documents, vocab, folder, shards=4)
     data = token_output.Dataset(spark, folder)
