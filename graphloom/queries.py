@@ -493,7 +493,7 @@ def html_text(g):
     return g.tables("pages").select("page_id", extract.html_text(F.col("html")).alias("text"))
 
 
-@query("SELECT DISTINCT x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_orderdate < y.o_orderdate + INTERVAL 3 DAY AND y.o_orderdate < x.o_orderdate + INTERVAL 3 DAY WHERE x.o_orderstatus = 'P' AND y.o_orderstatus = 'P' AND x.o_orderkey % 10 = 0")
+@query("SELECT DISTINCT x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_orderdate < y.o_orderdate + INTERVAL 3 DAY AND y.o_orderdate < x.o_orderdate + INTERVAL 3 DAY WHERE x.o_orderstatus = 'P' AND y.o_orderstatus = 'P'")
 def interval_join(g):
     day = 86_400_000
     o = g.tables("orders").where("o_orderstatus = 'P'").withColumn("lo", F.unix_millis(F.col("o_orderdate").cast("timestamp")))
