@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,12 @@ from graphloom.graph import Graph, Stream, q
 from graphloom.model import driver_model
 from graphloom.operators import commands as cmd
 from graphloom.operators import control, edits, lifts, pivots, subgraph, walks
-from graphloom.operators.filters import ArrayHas, IsForm, Prop, Subq, Tag, where
+from graphloom.operators.filters import ArrayHas, IsForm, Prop, Subq, Tag, TagProp, where
 from graphloom.plans import joins, layers
 from graphloom.plans.language import run_text
-from graphloom.streaming import editlog, triggers
+from graphloom.sources import feeds
+from graphloom.streaming import editlog, queues, triggers
+from graphloom.types import Int
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -674,3 +677,265 @@ def lang_driver(g):
         $own=({'x': 1, 'list': ([5, 7])}) $own.more = 2 $own.gone = 1 $lib.dict.pop($own, gone) $sum=($own.list.1 + $own.more)
         part:size=1 if $(:size = 1) { $mesg=$mesg $total=$total $top=$top $n=$n $d=$sum }
     """, "p_partkey", "mesg", "total", "top", "n", "d")(g)
+
+
+# stored tags with times, tag properties, node data
+
+
+def _marked(g: Graph) -> Graph:
+    """Orders that store a tag with times, a tag property for the dear ones, node data for the urgent ones."""
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    day = F.struct(ms.alias("min"), (ms + 86_400_000).alias("max"))
+    band = F.create_map(F.lit("price.band"), F.create_map(F.lit("level"), F.floor(F.col("o_totalprice") / 100_000).cast("string")))
+    rows = (
+        g.tables("orders")
+        .withColumn("tags", F.map_from_arrays(F.array(F.lit("seen"), F.lit("seen.day")), F.array(F.lit(None).cast("struct<min:bigint,max:bigint>"), day)))
+        .withColumn("tagprops", F.when(F.col("o_totalprice") >= 100_000, band))
+        .withColumn("nodedata", F.when(F.col("o_orderpriority") == "1-URGENT", F.create_map(F.lit("rush"), F.lit("1"))))
+    )
+    return Graph(g.spark, g.model, lambda name: rows if name == "orders" else g.tables(name))
+
+
+def _orders(s: Stream) -> DataFrame:
+    return s.df("orders").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 300000")
+def lift_tagprop(g):
+    return _orders(lifts.lift_tagprop(_marked(g), "price.band", "level", Int(), ">=", 3))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000")
+def lift_form_tagprop(g):
+    return _orders(lifts.lift_tagprop(_marked(g), None, "level", Int(), form="orders"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-07-01' AND o_orderdate + INTERVAL 1 DAY > TIMESTAMP '1996-03-01'")
+def lift_tag_at(g):
+    return _orders(lifts.lift_tag(_marked(g), "seen.day", "orders", at=("1996/03/01", "1996/07/01")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def lift_nodedata(g):
+    return _orders(lifts.lift_nodedata(_marked(g), "rush", "orders"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (1, 2, 30)")
+def lift_idens(g):
+    idens = [hashlib.sha256(f"customer\0{k}".encode()).hexdigest() for k in (1, 2, 30)]
+    return lifts.lift_idens(g, [*idens, "no iden"], "customer").df().select("c_custkey", "c_name")
+
+
+@query("SELECT 'nation' AS form, s_nationkey::VARCHAR AS valu FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT 'supplier', s_suppkey::VARCHAR FROM supplier WHERE s_acctbal > 5000")
+def yield_values(g):
+    rich = lifts.lift(g, "supplier:acctbal", ">", 5000).let(x=F.col("s_nationkey"))
+    return lifts.yield_values(rich, "x", "nation").ndefs()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-07-01' AND o_orderdate + INTERVAL 1 DAY > TIMESTAMP '1996-03-01' AND o_orderstatus = 'F'")
+def filter_tag_at(g):
+    return _orders(where(lifts.lift(_marked(g), "orders"), Tag("seen.day", "@=", ("1996/03/01", "1996/07/01")) & Prop("status", "=", "F")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate <> TIMESTAMP '1996-03-01'")
+def filter_tag_unlike(g):
+    return _orders(where(lifts.lift(_marked(g), "orders"), Tag("seen.day", "!=", ("1996/03/01", "1996/03/02"))))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'")
+def filter_tag_glob(g):
+    return where(lifts.lift(g, "customer"), Tag("credit.*") | Tag("segment.b*")).df().select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus <> 'O'")
+def filter_tagprop_has(g):
+    return _orders(where(lifts.lift(_marked(g), "orders"), TagProp("price.*", "level") & Prop("status", "!=", "O")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 200000")
+def filter_tagprop(g):
+    return _orders(where(lifts.lift(_marked(g), "orders"), TagProp("price.band", "level", "<", 2, Int())))
+
+
+def _map_rows(s: Stream, name: str) -> DataFrame:
+    return s.df("orders").select("o_orderkey", F.explode(name).alias("key", "value"))
+
+
+@query("SELECT o_orderkey, unnest(CASE WHEN o_orderpriority = '1-URGENT' THEN ['status', 'status.' || lower(o_orderstatus)] ELSE ['priority', 'priority.' || trim(regexp_replace(lower(substr(o_orderpriority, 3)), '[^a-z0-9]+', '_', 'g'), '_'), 'status', 'status.' || lower(o_orderstatus)] END) AS tag FROM orders")
+def tag_prune(g):
+    return _map_rows(edits.prune_tag(lifts.lift(g, "orders"), "priority.urgent"), "tags").select("o_orderkey", F.col("key").alias("tag"))
+
+
+@query("SELECT o_orderkey, unnest(['state', 'state.of', 'state.of.' || lower(o_orderstatus)]) AS tag FROM orders")
+def tag_move(g):
+    moved = _map_rows(edits.move_tag(lifts.lift(g, "orders"), "status", "state.of"), "tags")
+    return moved.where(~F.col("key").startswith("priority")).select("o_orderkey", F.col("key").alias("tag"))
+
+
+@query("SELECT o_orderkey, 'hot.top' AS key, 'score' AS prop, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'price.band', 'level', floor(o_totalprice / 100000)::BIGINT::VARCHAR FROM orders WHERE o_totalprice >= 100000")
+def tagprop_set(g):
+    s = edits.set_tagprop(lifts.lift(_marked(g), "orders"), "hot.top", "score", F.col("o_orderstatus"))
+    return _map_rows(s, "tagprops").select("o_orderkey", "key", F.explode("value").alias("prop", "value"))
+
+
+@query("SELECT o_orderkey, 0::BIGINT AS n FROM orders WHERE o_totalprice >= 100000")
+def tagprop_del(g):
+    s = edits.del_tagprop(lifts.lift(_marked(g), "orders"), "price.band", "level")
+    return _map_rows(s, "tagprops").select("o_orderkey", F.size("value").cast("bigint").alias("n"))
+
+
+@query("SELECT o_orderkey, 'note' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'rush', '1' FROM orders WHERE o_orderpriority = '1-URGENT'")
+def nodedata_set(g):
+    return _map_rows(edits.set_data(lifts.lift(_marked(g), "orders"), "note", F.col("o_orderstatus")), "nodedata")
+
+
+@query("SELECT o_orderkey, 'note' AS key, 'x' AS value FROM orders")
+def nodedata_pop(g):
+    return _map_rows(edits.pop_data(edits.set_data(lifts.lift(_marked(g), "orders"), "note", "x"), "rush"), "nodedata")
+
+
+@query("SELECT vec_id, len(embedding) + 1 AS n, 9.5::DOUBLE AS last FROM embeddings")
+def array_edit(g):
+    s = edits.edit_array(lifts.lift(g, "embedding"), "vector", add=[9.5, 7.25], remove=[7.25])
+    return s.df().select("vec_id", F.size("embedding").cast("bigint").alias("n"), F.element_at("embedding", -1).cast("double").alias("last"))
+
+
+@query("SELECT p_partkey, NULL::VARCHAR AS brand, p_name AS name FROM part")
+def prop_del(g):
+    return edits.del_prop(lifts.lift(g, "part"), "brand").df().select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_name").alias("name"))
+
+
+# edges, blocks and pivots over subqueries
+
+
+@query("SELECT n1, count(*) AS n FROM (SELECT DISTINCT l_suppkey AS n1, l_partkey FROM lineitem) JOIN supplier ON n1 = s_suppkey WHERE s_acctbal >= 0 GROUP BY n1")
+def edges_del(g):
+    left = edits.edges_del(walks.edges(g, ["supplies"]), lifts.lift(g, "supplier:acctbal", "<", 0), "supplies")
+    return left.groupBy(F.col("n1").cast("bigint").alias("n1")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'supplies' AS verb UNION ALL SELECT 'bought'")
+def edge_verbs(g):
+    return walks.edge_verbs(g)
+
+
+@query("SELECT 'customer' AS n1form, 'nationkey' AS verb, 'nation' AS n2form, count(*) AS n FROM customer UNION ALL SELECT 'supplier', 'nationkey', 'nation', count(*) FROM supplier UNION ALL SELECT 'nation', 'regionkey', 'region', count(*) FROM nation UNION ALL SELECT 'orders', 'custkey', 'customer', count(*) FROM orders")
+def references(g):
+    kinds = walks.references(g).groupBy("n1form", "verb", "n2form").agg(F.count("*").alias("n"))
+    return kinds.where(F.col("n1form").isin("customer", "supplier", "nation", "orders"))
+
+
+@query("WITH s AS (SELECT * FROM supplier WHERE s_acctbal > 8000) SELECT 'nation' AS form, s_nationkey::VARCHAR AS valu FROM s UNION ALL SELECT 'part', p::VARCHAR FROM (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem) JOIN s ON l_suppkey = s_suppkey")
+def pivot_out_edges(g):
+    return pivots.pivot_out(lifts.lift(g, "supplier:acctbal", ">", 8000), edges=True).ndefs()
+
+
+@query("WITH p AS (SELECT * FROM part WHERE p_size = 7), l AS (SELECT * FROM lineitem JOIN p ON l_partkey = p_partkey) SELECT 'lineitem' AS form, count(*) AS n FROM l UNION ALL SELECT 'supplier', count(DISTINCT (l_suppkey, l_partkey)) FROM l UNION ALL SELECT 'customer', count(DISTINCT (o_custkey, l_partkey)) FROM l JOIN orders ON l_orderkey = o_orderkey")
+def pivot_in_edges(g):
+    return pivots.pivot_in(lifts.lift(g, "part:size", "=", 7), edges=True).ndefs().groupBy("form").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'region' AS form, n_regionkey::VARCHAR AS valu FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000")
+def pivot_raw(g):
+    two = lambda s: pivots.pivot(pivots.pivot(s, "nation"), "region")
+    return pivots.raw_pivot(lifts.lift(g, "customer:acctbal", ">", 9000), two).ndefs()
+
+
+@query("SELECT o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 300000")
+def pivot_where(g):
+    return _orders(pivots.pivot_where(lifts.lift(g, "customer:mktsegment", "=", "BUILDING"), "orders", Prop("totalprice", ">", 300000)))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+def pivot_from_tags(g):
+    tags = g.spark.createDataFrame([("priority.high",), ("status.p",), ("no.such",)], "tag string")
+    return _orders(pivots.from_tags(g, tags, "orders"))
+
+
+@query("SELECT 'region' AS form, r_regionkey::VARCHAR AS valu FROM region UNION ALL SELECT 'nation', n_nationkey::VARCHAR FROM nation")
+def block_init(g):
+    return control.init(g, lifts.lift(g, "nation"), lambda g: lifts.lift(g, "region")).ndefs()
+
+
+@query("SELECT 'region' AS form, r_regionkey::VARCHAR AS valu FROM region")
+def block_empty(g):
+    return control.empty(lifts.lift(g, "nation:name", "=", "no such nation"), lambda g: lifts.lift(g, "region")).ndefs()
+
+
+@query("SELECT 'nation' AS form, n_nationkey::VARCHAR AS valu FROM nation UNION ALL SELECT 'region', n_regionkey::VARCHAR FROM nation")
+def block_fini(g):
+    return control.fini(lifts.lift(g, "nation"), lambda s: pivots.pivot(s, "region")).ndefs()
+
+
+@query("SELECT 'caught' AS what, count(*) AS n FROM region")
+def block_try(g):
+    got = control.try_(lambda: lifts.lift(g, "nosuch"), {"NoSuchForm": lambda e: lifts.lift(g, "region")})
+    return cmd.count(got).toDF("n").select(F.lit("caught").alias("what"), "n")
+
+
+@query("SELECT 'region' AS form, n_regionkey::VARCHAR AS valu FROM nation")
+def macro_exec(g):
+    cmd.macro_set(g, "up", lambda s: pivots.pivot(s, "region"))
+    return cmd.macro_exec(lifts.lift(g, "nation"), "up").ndefs()
+
+
+@query("SELECT o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9000")
+def parallel(g):
+    return _orders(cmd.parallel(lifts.lift(g, "customer:acctbal", ">", 9000), lambda s: pivots.pivot(s, "orders")))
+
+
+@query("SELECT 'orders' AS form, o_orderkey::VARCHAR AS valu, o_orderkey::VARCHAR AS repr FROM orders")
+def node_repr(g):
+    return cmd.node_repr(lifts.lift(g, "orders"))
+
+
+# layers beyond forks, feeds, windows
+
+
+@query("SELECT * FROM (" + _FORKED + ") WHERE regionkey = '1'")
+def copyto(g):
+    view = _fork(g)
+    to = layers.View((layers.Layer.empty(g.spark, "to"),))
+    return _flat(view.copy_to(view.nodes().where(F.try_element_at("props", F.lit("regionkey")) == "1"), to).nodes())
+
+
+@query(_FORKED)
+def movenodes(g):
+    view = _fork(g)
+    return _flat(view.move(view.nodes().where(F.try_element_at("props", F.lit("regionkey")) == "1"), 1).nodes())
+
+
+@query("SELECT DISTINCT name AS valu FROM (" + _FORKED + ")")
+def view_prop_values(g):
+    return _fork(g).prop_values("nation", "name")
+
+
+@query("SELECT 'nation' AS form, count(*) AS count FROM (" + _FORKED + ")")
+def view_form_counts(g):
+    return _fork(g).form_counts()
+
+
+@query("SELECT n_name AS name, n_nationkey::VARCHAR AS valu FROM nation UNION ALL SELECT r_name, md5('nation' || chr(0) || r_name) FROM region")
+def gen_nodes(g):
+    f = g.model.form("nation")
+    made = edits.get_or_create(edits.storage(g, f, g.frame(f)), "nation", g.tables("region").select(F.col("r_name").alias("name")), "name")
+    return made.select(F.try_element_at("props", F.lit("name")).alias("name"), "valu")
+
+
+@query("SELECT 'supplier' AS form, s_suppkey::VARCHAR AS valu, s_name AS name FROM supplier")
+def csv_nodes(g):
+    rows = feeds.csv_nodes(g.tables("supplier"), "supplier", "s_suppkey", {"name": "s_name", "nationkey": "s_nationkey"})
+    return rows.select("form", "valu", F.try_element_at("props", F.lit("name")).alias("name"))
+
+
+@query("SELECT 'part' AS form, p_partkey::VARCHAR AS valu, p_name AS name, p_size::VARCHAR AS size FROM part")
+def feed_pack(g):
+    f = g.model.form("part")
+    line = lambda path: F.get_json_object("value", path)
+    packed = feeds.pack(edits.storage(g, f, g.frame(f)))
+    return packed.select(line("$[0][0]").alias("form"), line("$[0][1]").alias("valu"), line("$[1].props.name").alias("name"), line("$[1].props.size").alias("size"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(g):
+    return queues.windows(g.tables("events"), "ts", "1 day", by=["event_type"]).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
