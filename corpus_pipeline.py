@@ -25,8 +25,8 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8
-    or more."""
+    """One document of each group of near copies stays: by SimHash as in op3 and, beyond
+    its reach, by five-word shingles of similarity 0.8 or more."""
     return near_copies.dedup(docs)
 
 

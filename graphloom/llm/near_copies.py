@@ -1,14 +1,16 @@
-"""Near copies by word shingles: MinHash bands propose, exact Jaccard similarity decides.
+"""Near copies by SimHash and, beyond its reach, by shingle sets of exact Jaccard similarity.
 
-The corpus pipeline's near-copies stage. SimHash blocks (``simhash.py``) are exact for
-fingerprints two bits apart, but texts of similarity 0.8 differ in some ten bits of 64,
-which no blocks of useful width survive; so this stage finds candidates by other keys.
+The corpus pipeline's near-copies stage. Its first step is op3's method as ``simhash.py``
+has it: fingerprints, pigeonhole blocks, Hamming check; whatever op3 links is linked here.
+That is exact for fingerprints two bits apart, but texts of similarity 0.8 differ in some
+ten bits of 64, which no blocks of useful width survive. So a second step adds links: MinHash
+bands propose, exact Jaccard similarity decides. Groups follow links of either step
+transitively, through fingerprints: rows of one fingerprint are of one group.
 
-Texts are sets of ``shingle``-word shingles (bytes with A-Z lowered, split at ASCII
+In the second step texts are sets of ``shingle``-word shingles (bytes with A-Z lowered, split at ASCII
 space; a shorter text is one shingle, a blank or null one the empty set). Texts of the
 same set are one class, known by a digest of the set. Two classes are linked if the
-Jaccard similarity of their sets is ``least`` or more, and groups follow links
-transitively.
+Jaccard similarity of their sets is ``least`` or more.
 
 Candidates are classes that share a whole band of MinHash values and whose sizes allow
 the similarity. With ``BANDS`` bands of ``ROWS`` values a pair of similarity s shares one
@@ -18,12 +20,13 @@ is verified on its full shingle sets, so nothing is linked by estimate.
 Within a band key of at most ``pair_limit`` classes all pairs are candidates. In a larger
 one, as a big group of near copies makes them, classes are sorted by the bands that
 follow (in a circle), so that those which share most bands stand side by side, and each
-is held against its ``REACH`` successors in each of its keys' orders. Work so grows with
-a group's size, not with its square, and a key's classes are dealt over tasks by range.
-A member whose only links are to classes that never stand near it, of 25 orders, keeps
-apart; README has what that costs by measurement.
+is held against its ``REACH`` successors in each of its keys' orders, and a key's classes
+are dealt over tasks by range. Then, in keys whose classes aren't of one group yet, those
+outside the key's largest group are held against all classes of other groups. So every two
+classes that share a key end in one group or are verified, and work grows with a group's
+size, not with its square; only classes that share a key and are no near copies cost pairs.
 
-Defined cases: blank and null texts are one class and link to nothing else; repeated rows
+Defined cases: blank and null texts are one class of fingerprint zero; repeated rows
 and exact copies are of one class; null ids come last; an empty table gives an empty
 result; columns of any name are returned untouched.
 """
@@ -38,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import simhash
 from graphloom.llm.common import column, deal, discard, materialise, maybe_broadcast, row_key, text_column
 from graphloom.llm.components import connected_components
 
@@ -95,13 +99,14 @@ def _set_id(h: np.ndarray) -> int:
 def _classes(shingle: int):
     def run(batches):
         for b in batches:
-            sets = [shingles(t, shingle) for t in b.column("_text").to_pylist()]
+            texts = b.column("_text").to_pylist()
+            sets = [shingles(t, shingle) for t in texts]
             keep = [i for i, name in enumerate(b.schema.names) if name != "_text"]
             made = [
                 pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()),
-                pa.array([bands(h) for h in sets], pa.list_(pa.int64())),
+                pa.array([bands(h) for h in sets], pa.list_(pa.int64())), pa.array([simhash.signed_fingerprint(t) for t in texts], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + made, names=[b.schema.names[i] for i in keep] + ["fp", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + made, names=[b.schema.names[i] for i in keep] + ["fp", "size", "bands", "print"])
 
     return run
 
@@ -153,31 +158,56 @@ def _successors(reach: int, least: float):
     return run
 
 
-def candidates(classes: DataFrame, least: float = LEAST, pair_limit: int = PAIR_LIMIT, reach: int = REACH) -> DataFrame:
-    """Distinct ``classes(fp, size, bands)`` -> distinct pairs ``(a, b)``, a > b, to verify."""
+def _fits(least: float):
+    """Sizes ``sa``, ``sb`` of different sets that allow the similarity."""
+    return (F.least("sa", "sb") >= F.greatest("sa", "sb") * least - 1e-6) & (
+        (F.col("sa") != F.col("sb")) | (F.col("sa") - 1 >= (F.col("sa") + 1) * least - 1e-6)
+    )
+
+
+def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
+    return df.select("k", "key", F.col("fp").alias(x), F.col("size").alias("s" + x), *[F.col(m).alias(m[0] + x) for m in more])
+
+
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """Distinct ``classes(fp, size, bands)`` -> a row for each of their keys that others share."""
     follow = [F.element_at("bands", ((F.col("k") + i) % BANDS + 1).cast("int")).alias(f"o{i}") for i in range(1, ORDER + 1)]
     keyed = classes.select("fp", "size", "bands", F.posexplode("bands").alias("k", "key"))
     shared = materialise(keyed.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = materialise(keyed.join(maybe_broadcast(shared, 40), ["k", "key"]).select("fp", "size", "k", "key", "n", *follow), "met")
+    discard(shared)
+    return met
+
+
+def candidates(met: DataFrame, least: float = LEAST, pair_limit: int = PAIR_LIMIT, reach: int = REACH) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a > b, to verify: all of small keys, neighbours in large ones."""
     few = met.where(F.col("n") <= pair_limit)
-    fits = F.least("sa", "sb") >= F.greatest("sa", "sb") * least - 1e-6
-    pairs = few.select("k", "key", F.col("fp").alias("a"), F.col("size").alias("sa")).join(
-        few.select("k", "key", F.col("fp").alias("b"), F.col("size").alias("sb")), ["k", "key"]
-    ).where(F.col("a") > F.col("b")).where(fits).select("a", "b")
+    pairs = _side(few, "a").join(_side(few, "b"), ["k", "key"]).where(F.col("a") > F.col("b")).where(_fits(least)).select("a", "b")
     order = ["k", "key", *(f"o{i}" for i in range(1, ORDER + 1)), "fp"]
     many = met.where(F.col("n") > pair_limit).repartitionByRange(*order).sortWithinPartitions(*order)
     near = many.select("k", "key", "fp", "size").mapInArrow(_successors(reach, least), "a long, b long")
-    out = materialise(pairs.union(near).distinct(), "pairs")
-    discard(shared, met)
+    return materialise(pairs.union(near).distinct(), "pairs")
+
+
+def open_pairs(met: DataFrame, roots: DataFrame, least: float = LEAST, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a > b, of large keys that ``roots(fp, root)`` has in different
+    groups: what isn't of a key's largest group, against all the key's other groups."""
+    many = materialise(met.where(F.col("n") > pair_limit).select("k", "key", "fp", "size").join(roots, "fp"), "many")
+    groups = many.groupBy("k", "key", "root").agg(F.count("*").alias("n"))
+    tops = groups.groupBy("k", "key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root")).alias("top"))
+    tops = materialise(tops.where("groups > 1").select("k", "key", F.col("top.root").alias("top")), "tops")
+    left = materialise(many.join(maybe_broadcast(tops, 40), ["k", "key"]), "open")
+    rest = materialise(left.where("root != top"), "rest")
+    pairs = _side(left, "b", "root", "top").join(maybe_broadcast(_side(rest, "a", "root"), 48), ["k", "key"])
+    pairs = pairs.where("ra != rb AND (rb = tb OR a > b)").where(_fits(least))
+    out = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    discard(many, tops, left, rest)
     return out
 
 
-def links(
-    classes: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAST, pair_limit: int = PAIR_LIMIT, reach: int = REACH
-) -> DataFrame:
-    """Distinct ``classes(fp, size, bands, _k1, _k2)``, each with the key of one of its
-    rows in ``keyed(_k1, _k2, _text)`` -> verified links ``(a, b)``."""
-    pairs = candidates(classes, least, pair_limit, reach)
+def verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are near. ``classes(fp, _k1, _k2)`` have the key of one of
+    their rows in ``keyed(_k1, _k2, _text)``."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = materialise(classes.select("fp", "_k1", "_k2").join(ends, "fp", "left_semi"), "wanted")
     # Rows of one key are equal in the text.
@@ -185,7 +215,7 @@ def links(
     sets = materialise(texts.mapInArrow(_set_bytes(shingle), "fp long, set binary").dropDuplicates(["fp"]), "sets")
     ta, tb = sets.toDF("a", "ta"), sets.toDF("b", "tb")
     out = materialise(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long"), "near")
-    discard(pairs, wanted, sets)
+    discard(wanted, sets)
     return out
 
 
@@ -199,16 +229,37 @@ def dedup(
     keyed = docs.select(F.struct("*").alias("_row"), k1.alias("_k1"), k2.alias("_k2"), text_column(text_col).alias("_text"))
     prints = materialise(
         deal(docs.select(column(id_col).alias("_id"), k1.alias("_k1"), k2.alias("_k2"), text_column(text_col).alias("_text"))).mapInArrow(
-            _classes(shingle), f"_id {dict(docs.dtypes)[id_col]}, _k1 long, _k2 long, fp long, size long, bands array<long>"
+            _classes(shingle), f"_id {dict(docs.dtypes)[id_col]}, _k1 long, _k2 long, fp long, size long, bands array<long>, print long"
         ),
         "prints",
     )
-    best = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_k1", "_k2"))
-    low = materialise(prints.groupBy("fp").agg(best.alias("low"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    best = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_k1", "_k2")).alias("low")
+    classes = prints.groupBy("fp").agg(best, F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("print").alias("print"))
+    classes = materialise(classes.select("fp", "size", "bands", "print", "low._k1", "low._k2"), "classes")
+    low = materialise(prints.groupBy("print").agg(best), "low")
+    of = classes.select("fp", F.col("print").alias("b"))
+    same = materialise(prints.select("fp", "print").distinct().join(of, "fp").where("print != b").select(F.col("print").alias("a"), "b"), "same")
     discard(prints)
-    found = links(low.select("fp", "size", "bands", "low._k1", "low._k2"), keyed.select("_k1", "_k2", "_text"), shingle, least, pair_limit, reach)
-    roots = connected_components(found)
-    rooted = low.join(roots, F.col("fp") == F.col("node"), "left").select("low", F.coalesce("root", "fp").alias("root"))
+
+    def between(near: DataFrame) -> DataFrame:
+        """Links of classes as links of their fingerprints."""
+        a, b = classes.select(F.col("fp").alias("a"), F.col("print").alias("pa")), classes.select(F.col("fp").alias("b"), F.col("print").alias("pb"))
+        return near.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+
+    texts = keyed.select("_k1", "_k2", "_text")
+    met = shared_keys(classes.select("fp", "size", "bands"))
+    pairs = candidates(met, least, pair_limit, reach)
+    near = verified(pairs, classes, texts, shingle, least)
+    roots = connected_components(simhash.links(low.select(F.col("print").alias("fp"))).union(same).union(between(near)))
+    named = classes.select("fp", "print").join(roots, F.col("print") == F.col("node"), "left").select("fp", F.coalesce("root", "print").alias("root"))
+    rest = open_pairs(met, named, least, pair_limit)
+    discard(met, pairs, near, same)
+    if not rest.isEmpty():
+        more = verified(rest, classes, texts, shingle, least)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(between(more)))
+        discard(more)
+    discard(rest)
+    rooted = low.join(roots, F.col("print") == F.col("node"), "left").select("low", F.coalesce("root", "print").alias("root"))
     kept = materialise(rooted.groupBy("root").agg(F.min("low").alias("low")).select("low._k1", "low._k2"), "kept")
-    discard(low, found)
+    discard(low, classes)
     return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")

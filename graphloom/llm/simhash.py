@@ -66,10 +66,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def signed_fingerprint(text: str | None, shingle: int = 3) -> int:
+    return _signed(fingerprint(text, shingle))
+
+
 def _fingerprints(shingle: int):
     def run(batches):
         for b in batches:
-            out = [_signed(fingerprint(t, shingle)) for t in b.column("_text").to_pylist()]
+            out = [signed_fingerprint(t, shingle) for t in b.column("_text").to_pylist()]
             keep = [i for i, name in enumerate(b.schema.names) if name != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in keep] + [pa.array(out, pa.int64())], names=[b.schema.names[i] for i in keep] + ["fp"]

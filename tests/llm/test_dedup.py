@@ -138,6 +138,52 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted(r.doc_id for r in near_copies.dedup(df).collect()) == [0, 5000]
 
 
+def test_near_copies_stage_links_by_simhash(spark):
+    """What op3 links is one group in the pipeline, though its sets of five words are unlike,
+    and so is what hangs on it by similarity alone."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = lambda n: ["w%d" % rng.randrange(10_000) for _ in range(n)]
+    rows, want = [], []
+    for i in range(0, 60, 3):
+        passage, tail = words(100), words(60)
+        like = [*tail[:30], "other", *tail[31:]]
+        texts = [" ".join(passage * 200 + words(60)), " ".join(passage * 200 + tail), " ".join(passage + like)]
+        sets = [shingle_set(t) for t in texts]
+        jaccard = lambda x, y: len(x & y) / len(x | y)
+        assert jaccard(sets[0], sets[1]) < 0.8 and jaccard(sets[0], sets[2]) < 0.8 <= jaccard(sets[1], sets[2])
+        rows += [(i + k, t) for k, t in enumerate(texts)]
+        bits = bin(brute_print(texts[0]) ^ brute_print(texts[1])).count("1")
+        want += [i] if bits <= 2 else [i, i + 1]
+    assert len(want) < 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.remove_near_copies(spark, df, "").collect()]
+    assert sorted(kept) == want
+    named = simhash.components(df).where(F.col("doc_id").isin(kept))
+    assert named.select("component_id").distinct().count() == len(kept)
+
+
+def test_keys_beyond_the_pair_limit_lose_no_link(spark):
+    """Pairs amid many texts that share keys with them but aren't near copies, with so few
+    neighbours looked at that the order alone misses links."""
+    rng = random.Random(8)
+    base = ["w%d" % rng.randrange(10_000) for _ in range(300)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for k in rng.sample(range(300), 7):
+            own[k] = "x%d" % rng.randrange(10**6)
+        rows.append((2 * i, " ".join(own)))
+        for k in rng.sample(range(300), 6):
+            own[k] = "x%d" % rng.randrange(10**6)
+        rows.append((2 * i + 1, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_by_hand(rows)
+    assert len(want) == 120
+    assert sorted(r.doc_id for r in near_copies.dedup(df, pair_limit=1, reach=1).collect()) == want
+
+
 def test_near_copies_odd_rows(odd):
     kept = near_copies.dedup(odd)
     assert kept.columns == odd.columns
