@@ -53,6 +53,10 @@ PAIR_LIMIT = 16
 REACH = 8
 #: Following bands that a large key's order looks at.
 ORDER = 6
+#: Classes of a family, about, whose common shingles give its core; which they are decides cost, not links.
+CORE_SAMPLE = 64
+#: Shingles that the driver may hold as common ones; with more of them, fewer count as common.
+MOST_COMMON = 2_000_000
 
 _random = np.random.default_rng(5)
 _MULTIPLY = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,8 +169,8 @@ def _fits(least: float):
     )
 
 
-def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
-    return df.select("k", "key", F.col("fp").alias(x), F.col("size").alias("s" + x), *[F.col(m).alias(m[0] + x) for m in more])
+def _side(df: DataFrame, x: str) -> DataFrame:
+    return df.select("k", "key", F.col("fp").alias(x), F.col("size").alias("s" + x))
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
@@ -189,33 +193,233 @@ def candidates(met: DataFrame, least: float = LEAST, pair_limit: int = PAIR_LIMI
     return materialise(pairs.union(near).distinct(), "pairs")
 
 
-def open_pairs(met: DataFrame, roots: DataFrame, least: float = LEAST, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a > b, of large keys that ``roots(fp, root)`` has in different
-    groups: what isn't of a key's largest group, against all the key's other groups."""
+def _packed(buckets: int, most: int = 1 << 18):
+    """``(fp, size, root, set)`` -> ``(bucket, data)``: shingles with fp, root and size, dealt by shingle."""
+
+    def run(batches):
+        schema = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
+
+        def flush(sets, rows):
+            h = np.concatenate(sets)
+            of = np.repeat(np.array(rows, np.int64), [len(x) for x in sets], axis=0)
+            at = (h % np.uint64(buckets)).astype(np.int64)
+            own = np.unique(at)
+            data = [np.vstack([h[at == k].view(np.int64), of[at == k].T]).tobytes() for k in own]
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(data, pa.binary())], schema=schema)
+
+        for b in batches:
+            sets, rows, n = [], [], 0
+            for fp, size, root, x in zip(*(b.column(k).to_pylist() for k in ("fp", "size", "root", "set"))):
+                sets.append(np.frombuffer(x, np.uint64))
+                rows.append((fp, root, size))
+                n += size
+                if n >= most:
+                    yield flush(sets, rows)
+                    sets, rows, n = [], [], 0
+            if sets:
+                yield flush(sets, rows)
+
+    return run
+
+
+def _counted(rare: int, least: float):
+    """A bucket's rows of :func:`_packed` -> ``(kind, a, b)``: 0, shingle and count of those in more
+    than ``rare`` classes; 1 and two classes of different groups that share another."""
+
+    def run(table):
+        h, fp, root, size = np.hstack([np.frombuffer(x, np.int64).reshape(4, -1) for x in table.column("data").to_pylist()])
+        order = np.lexsort((fp, h))
+        h, fp, root, size = h[order], fp[order], root[order], size[order]
+        own, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        often = n > rare
+        keep = ~often[at]
+        h, fp, root, size = h[keep], fp[keep], root[keep], size[keep]
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, rare):
+            i, j = slice(0, max(0, len(h) - d)), slice(d, None)
+            fits = np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * least - 1e-6
+            ok = (h[i] == h[j]) & (root[i] != root[j]) & fits
+            found.append(np.column_stack([np.maximum(fp[i], fp[j])[ok], np.minimum(fp[i], fp[j])[ok]]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        kind = np.repeat(np.array([0, 1], np.int32), [int(often.sum()), len(pairs)])
+        return pa.table({"kind": kind, "a": np.concatenate([own[often], pairs[:, 0]]), "b": np.concatenate([n[often], pairs[:, 1]])})
+
+    return run
+
+
+def _common(often: np.ndarray, least: float):
+    """``(fp, size, root, family, set)`` -> the same with ``part``, the shingles in the sorted ``often``
+    and a digest of them, of classes that can be near one with which they share no others."""
+
+    def run(batches):
+        for b in batches:
+            parts = [np.intersect1d(np.frombuffer(x, np.uint64), often, assume_unique=True) for x in b.column("set").to_pylist()]
+            keep = [len(x) >= n * least - 1e-6 for x, n in zip(parts, b.column("size").to_pylist())]
+            made = [pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([_set_id(x) for x in parts], pa.int64())]
+            names = ["fp", "size", "root", "family"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), *made], names=[*names, "part", "digest"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _core(table: pa.Table) -> pa.Table:
+    """A family's sample -> the shingles that most of the classes around its middle have."""
+    parts = [np.frombuffer(x, np.uint64) for x in table.column("part").to_pylist()]
+    h, at = np.unique(np.concatenate(parts), return_inverse=True)
+    has = np.zeros((len(parts), len(h)), np.float32)
+    has[np.repeat(np.arange(len(parts)), [len(x) for x in parts]), at] = 1
+    both = has @ has.T
+    middle = both[both.sum(axis=1).argmax()]
+    around = has[middle * 2 >= middle.max()]
+    core = h[around.sum(axis=0) * 2 > len(around)]
+    return pa.table({"family": table.column("family")[:1], "core": pa.array([core.tobytes()], pa.binary())})
+
+
+def _apart(often: np.ndarray, counts: np.ndarray, least: float):
+    """Classes with their family's core -> how far they are from it: the ``marks`` (core shingles a
+    class lacks, common ones it has besides, the rarer first), ``far`` and ``room`` (see :func:`open_pairs`)."""
+
+    def run(batches):
+        for b in batches:
+            far, room, marks = [], [], []
+            for size, x, y, n in zip(*(b.column(k).to_pylist() for k in ("size", "part", "core", "n"))):
+                part, core = np.frombuffer(x, np.uint64), np.frombuffer(y or b"", np.uint64)
+                lacks, more = np.setdiff1d(core, part, assume_unique=True), np.setdiff1d(part, core, assume_unique=True)
+                has = len(core) - len(lacks)
+                mark = np.concatenate([lacks, more])
+                seen = counts[np.searchsorted(often, mark)]
+                seen[: len(lacks)] = n - seen[: len(lacks)]
+                marks.append(mark[np.lexsort((mark, seen))].tobytes())
+                far.append((len(lacks) + least * (size - has)) / (1 + least))
+                room.append((1 - least) / (1 + least) * len(core))
+            names = ["fp", "root", "family", "first"]
+            made = [pa.array(far, pa.float64()), pa.array(room, pa.float64()), pa.array([len(x) // 8 for x in marks], pa.int64()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), *made], names=[*names, "far", "room", "many", "marks"])
+
+    return run
+
+
+def _marked(batches):
+    """Classes with the levels of others -> a row for each mark by which they may meet one of a level."""
+    names = ["key", "side", "fp", "root", "far", "room", "many", "at"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    for b in batches:
+        out = [[np.zeros(0, np.float64 if t == pa.float64() else np.int64)] for t in types]
+        for r in b.to_pylist():
+            mark = np.frombuffer(r["marks"], np.uint64)
+            for side, levels in ((0, r["firsts"] if r["is_far"] else None), (1, r["fars"] if r["first"] else None)):
+                for v in levels or ():
+                    need = max(1, int(np.ceil(r["far"] + v["low"] - r["room"] - 1e-6)))
+                    n = len(mark) - need + 1
+                    if need > v["many"] or n <= 0:
+                        continue
+                    x, y = (r["level"], v["level"]) if side == 0 else (v["level"], r["level"])
+                    mix = np.uint64(xxhash.xxh64_intdigest(np.array([r["family"], x, y], np.int64).tobytes(), 42))
+                    rows = [(mark[:n] ^ mix).view(np.int64), side, r["fp"], r["root"], r["far"], r["room"], r["many"], np.arange(n)]
+                    for o, z in zip(out, rows):
+                        o.append(z if isinstance(z, np.ndarray) else np.full(n, z))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, types)], names=names)
+
+
+def open_pairs(
+    met: DataFrame, roots: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAST, pair_limit: int = PAIR_LIMIT
+) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a > b, of classes that ``roots(fp, root)`` has in different groups.
+    Verified, they join whatever classes of similarity ``least`` share a large key.
+
+    Shingles in more than ``pair_limit`` of the classes are common. Classes that share another are
+    paired by it. Two that share only common ones need these for ``least`` of their size, and of
+    classes with the same common shingles the smallest, the first, stands for all: what is near one
+    of them is near the first. With a family's ``core`` set (any will do; families are classes
+    joined by keys), let a class lack d core shingles and have e besides. Two are near if
+    they share ``far + far - room`` or more of these marks, where far = (d + least e) / (1 + least) and
+    room = (1 - least) / (1 + least) |core|. So classes with far + far <= room are all near the one
+    that is least far, and any other pair shares one of the first marks, as many as either
+    can miss and one, in any order of marks. Marks meet by level of ``far``, as the number depends on both.
+    """
     many = materialise(met.where(F.col("n") > pair_limit).select("k", "key", "fp", "size").join(roots, "fp"), "many")
-    groups = many.groupBy("k", "key", "root").agg(F.count("*").alias("n"))
-    tops = groups.groupBy("k", "key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root")).alias("top"))
-    tops = materialise(tops.where("groups > 1").select("k", "key", F.col("top.root").alias("top")), "tops")
-    left = materialise(many.join(maybe_broadcast(tops, 40), ["k", "key"]), "open")
-    rest = materialise(left.where("root != top"), "rest")
-    pairs = _side(left, "b", "root", "top").join(maybe_broadcast(_side(rest, "a", "root"), 48), ["k", "key"])
-    pairs = pairs.where("ra != rb AND (rb = tb OR a > b)").where(_fits(least))
+    spans = many.groupBy("k", "key").agg(F.min("fp").alias("b"), F.min("root").alias("low"), F.max("root").alias("high"))
+    spans = materialise(spans.where("low < high").select("k", "key", "b"), "spans")
+    left = materialise(many.join(maybe_broadcast(spans, 40), ["k", "key"]).select("fp", "size", "root", "b"), "open")
+    discard(many, spans)
+    if left.isEmpty():
+        discard(left)
+        return materialise(roots.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false"), "pairs")
+    families = connected_components(left.select(F.col("fp").alias("a"), "b"))
+    families = families.select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    ends = materialise(left.select("fp", "size", "root").distinct().join(families, "fp"), "ends")
+    own = class_sets(ends.select("fp"), classes, keyed, shingle)
+    sets = materialise(ends.join(own, "fp"), "family_sets")
+    total = sets.agg(F.sum("size")).first()[0]
+    packed = materialise(sets.mapInArrow(_packed(max(1, total >> 16)), "bucket long, data binary"), "packed")
+    rare, tokens = pair_limit, None
+    while tokens is None or tokens.where("kind = 0").count() > MOST_COMMON:
+        rare = rare if tokens is None else 2 * rare
+        discard(tokens)
+        tokens = materialise(packed.groupBy("bucket").applyInArrow(_counted(rare, least), "kind int, a long, b long"), "tokens")
+    common = tokens.where("kind = 0").select("a", "b").toArrow()
+    often, counts = common.column("a").to_numpy().view(np.uint64), common.column("b").to_numpy()
+    order = np.argsort(often)
+    often, counts = often[order], counts[order]
+    found = tokens.where("kind = 1").select("a", "b")
+
+    schema = "fp long, size long, root long, family long, part binary, digest long"
+    dense = materialise(sets.mapInArrow(_common(often, least), schema), "dense")
+    firsts = dense.groupBy("family", "digest").agg(F.min(F.struct("size", "fp")).alias("low")).select(F.col("low.fp").alias("fp"), F.lit(True).alias("first"))
+    sizes = materialise(dense.groupBy("family").agg(F.count("*").alias("n")), "sizes")
+    sample = dense.join(maybe_broadcast(sizes, 24), "family").where(F.expr(f"pmod(xxhash64(fp), greatest(1, n div {CORE_SAMPLE})) = 0"))
+    cores = sample.select("family", "part").groupBy("family").applyInArrow(_core, "family long, core binary")
+    cores = materialise(sizes.join(cores, "family", "left"), "cores")
+    width = cores.agg(F.max(F.length("core"))).first()[0] or 0
+    whole = dense.join(maybe_broadcast(cores, 32 + width), "family").join(firsts, "fp", "left").select("fp", "size", "root", "family", F.coalesce("first", F.lit(False)).alias("first"), "part", "core", "n")
+    schema = "fp long, root long, family long, first boolean, far double, room double, many long, marks binary"
+    apart = materialise(whole.mapInArrow(_apart(often, counts, least), schema), "apart")
+    discard(left, ends, own, sets, packed, dense, sizes, cores)
+
+    apart = apart.withColumn("level", F.floor(8 * F.log2(1 + F.col("far"))).cast("long"))
+    mids = materialise(apart.groupBy("family").agg(F.min(F.struct("far", "fp", "root")).alias("mid")), "mids")
+    is_far = F.col("far") + F.col("mid.far") > F.col("room") + 1e-6
+    placed = apart.join(maybe_broadcast(mids, 40), "family").withColumn("is_far", is_far)
+    near = placed.where("NOT is_far AND root != mid.root").select(F.col("fp").alias("a"), F.col("mid.fp").alias("b"))
+    levels = placed.groupBy("family", "level").agg(
+        F.min("far").alias("low"), F.max("many").alias("most"),
+        F.min(F.when(F.col("is_far"), F.col("far"))).alias("far_low"), F.max(F.when(F.col("is_far"), F.col("many"))).alias("far_most"),
+    )
+    listed = levels.groupBy("family").agg(  # some hundred levels at most
+        F.collect_list(F.struct("level", "low", F.col("most").alias("many"))).alias("firsts"),
+        F.collect_list(F.when(F.col("far_low").isNotNull(), F.struct("level", F.col("far_low").alias("low"), F.col("far_most").alias("many")))).alias("fars"),
+    )
+    listed = materialise(listed, "levels")
+    rows = placed.where("is_far OR first").join(maybe_broadcast(listed, 4096), "family")
+    rows = rows.select("fp", "root", "family", "first", "far", "room", "many", "marks", "level", "is_far", "firsts", "fars")
+    marked = materialise(rows.mapInArrow(_marked, "key long, side long, fp long, root long, far double, room double, many long, at long"), "marked")
+    one, two = (marked.where(F.col("side") == i).select("key", *[F.col(c).alias(c + str(i)) for c in ("fp", "root", "far", "room", "many", "at")]) for i in (0, 1))
+    need = F.greatest(F.lit(1), F.ceil(F.col("far0") + F.col("far1") - F.col("room0") - 1e-6))
+    meet = one.join(two, "key").where("root0 != root1").where((F.col("at0") + need <= F.col("many0")) & (F.col("at1") + need <= F.col("many1")))
+    pairs = found.union(near).union(meet.select("fp0", "fp1"))
     out = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    discard(many, tops, left, rest)
+    discard(tokens, mids, listed, marked)
     return out
 
 
-def verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are near. ``classes(fp, _k1, _k2)`` have the key of one of
+def class_sets(ends: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The sets of the distinct classes ``ends(fp)``. ``classes(fp, _k1, _k2)`` have the key of one of
     their rows in ``keyed(_k1, _k2, _text)``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = materialise(classes.select("fp", "_k1", "_k2").join(ends, "fp", "left_semi"), "wanted")
     # Rows of one key are equal in the text.
     texts = keyed.join(maybe_broadcast(wanted, 48), ["_k1", "_k2"]).select("fp", "_text")
     sets = materialise(texts.mapInArrow(_set_bytes(shingle), "fp long, set binary").dropDuplicates(["fp"]), "sets")
+    discard(wanted)
+    return sets
+
+
+def verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are near, by the sets of their texts (:func:`class_sets`)."""
+    ends = pairs.select(F.col("a").alias("fp")).distinct().union(pairs.select(F.col("b").alias("fp")).distinct()).distinct()
+    sets = class_sets(ends, classes, keyed, shingle)
     ta, tb = sets.toDF("a", "ta"), sets.toDF("b", "tb")
     out = materialise(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long"), "near")
-    discard(wanted, sets)
+    discard(sets)
     return out
 
 
@@ -252,7 +456,7 @@ def dedup(
     near = verified(pairs, classes, texts, shingle, least)
     roots = connected_components(simhash.links(low.select(F.col("print").alias("fp"))).union(same).union(between(near)))
     named = classes.select("fp", "print").join(roots, F.col("print") == F.col("node"), "left").select("fp", F.coalesce("root", "print").alias("root"))
-    rest = open_pairs(met, named, least, pair_limit)
+    rest = open_pairs(met, named, classes, texts, shingle, least, pair_limit)
     discard(met, pairs, near, same)
     if not rest.isEmpty():
         more = verified(rest, classes, texts, shingle, least)

@@ -184,6 +184,61 @@ def test_keys_beyond_the_pair_limit_lose_no_link(spark):
     assert sorted(r.doc_id for r in near_copies.dedup(df, pair_limit=1, reach=1).collect()) == want
 
 
+def edited(rng, words, n, fresh):
+    """``words`` after ``n`` edits: words exchanged, put in or taken out."""
+    own = list(words)
+    for _ in range(n):
+        at = rng.randrange(len(own))
+        own[at : at + rng.choice((1, 1, 0, 2))] = rng.choice(([fresh()], [fresh()], [fresh(), fresh()]))
+    return own
+
+
+def kept_by_hand(rows, least=0.8):
+    """rows of (id, text) -> the smallest id of each group by either kind of link."""
+    s, f = [shingle_set(t) for _, t in rows], [brute_print(t) for _, t in rows]
+    like = lambda i, j: (f[i] ^ f[j]).bit_count() <= 2 or len(s[i] & s[j]) >= least * len(s[i] | s[j])
+    r = roots_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if like(i, j)])
+    return sorted({rows[k][0] for k in r})
+
+
+@pytest.mark.parametrize("pair_limit", [1, 4, 16])
+def test_open_pairs_join_what_all_pairs_join(spark, pair_limit):
+    """Large keys of texts around the threshold, some bases akin, edits by rare and by common words."""
+    rng = random.Random(21)
+    rare = lambda: "x%d" % rng.randrange(10**6)
+    common = lambda: "c%d" % rng.randrange(3)
+    first = [rare() for _ in range(150)]
+    bases = [first, edited(rng, first, 6, rare), first[:75] + [rare() for _ in range(75)], [rare() for _ in range(40)]]
+    rows = []
+    for k in range(600):
+        own = edited(rng, bases[k % 7 % 4], rng.choice((0, 1, 2, 2, 3, 3, 4, 6, 12)), rng.choice((rare, common)))
+        rows.append((2 * k, " ".join(own)))
+        if k % 5 == 0:  # akin to one that is itself far from the rest
+            rows.append((2 * k + 1, " ".join(edited(rng, own, 2, rare))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = kept_by_hand(rows)
+    assert 100 < len(want) < 600
+    assert sorted(r.doc_id for r in near_copies.dedup(df, pair_limit=pair_limit, reach=1).collect()) == want
+
+
+def test_open_pairs_grow_with_a_group_not_its_square(spark, monkeypatch):
+    """Edited copies of one text, most of them beyond the threshold from all others."""
+    rng = random.Random(4)
+    base = ["w%d" % rng.randrange(10_000) for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice((1, 2, 3, 4, 5)), lambda: "x%d" % rng.randrange(10**6)))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, whole = [], near_copies.open_pairs
+
+    def counted(*args):
+        out = whole(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "open_pairs", counted)
+    assert sorted(r.doc_id for r in near_copies.dedup(df).collect()) == kept_by_hand(rows)
+    assert counts[0] < 10 * len(rows)
+
+
 def test_near_copies_odd_rows(odd):
     kept = near_copies.dedup(odd)
     assert kept.columns == odd.columns
