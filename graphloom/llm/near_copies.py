@@ -248,7 +248,7 @@ def _counted(rare: int, least: float):
 
 
 def _common(often: np.ndarray, least: float):
-    """``(fp, size, root, family, set)`` -> the same with ``part``, the shingles in the sorted ``often``
+    """``(fp, size, root, set)`` -> the same with ``part``, the shingles in the sorted ``often``
     and a digest of them, of classes that can be near one with which they share no others."""
 
     def run(batches):
@@ -256,7 +256,7 @@ def _common(often: np.ndarray, least: float):
             parts = [np.intersect1d(np.frombuffer(x, np.uint64), often, assume_unique=True) for x in b.column("set").to_pylist()]
             keep = [len(x) >= n * least - 1e-6 for x, n in zip(parts, b.column("size").to_pylist())]
             made = [pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([_set_id(x) for x in parts], pa.int64())]
-            names = ["fp", "size", "root", "family"]
+            names = ["fp", "size", "root"]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), *made], names=[*names, "part", "digest"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -266,7 +266,7 @@ def _core(table: pa.Table) -> pa.Table:
     """A family's sample -> the shingles that most of the classes around its middle have."""
     parts = [np.frombuffer(x, np.uint64) for x in table.column("part").to_pylist()]
     h, at = np.unique(np.concatenate(parts), return_inverse=True)
-    has = np.zeros((len(parts), len(h)), np.float32)
+    has = np.zeros((len(parts), len(h)), np.int32)
     has[np.repeat(np.arange(len(parts)), [len(x) for x in parts]), at] = 1
     both = has @ has.T
     middle = both[both.sum(axis=1).argmax()]
@@ -330,8 +330,8 @@ def open_pairs(
     Shingles in more than ``pair_limit`` of the classes are common. Classes that share another are
     paired by it. Two that share only common ones need these for ``least`` of their size, and of
     classes with the same common shingles the smallest, the first, stands for all: what is near one
-    of them is near the first. With a family's ``core`` set (any will do; families are classes
-    joined by keys), let a class lack d core shingles and have e besides. Two are near if
+    of them is near the first. With a family's ``core`` set (any will do; a key's classes are
+    of one family, which is named by the smallest class that keys of its classes hold), let a class lack d core shingles and have e besides. Two are near if
     they share ``far + far - room`` or more of these marks, where far = (d + least e) / (1 + least) and
     room = (1 - least) / (1 + least) |core|. So classes with far + far <= room are all near the one
     that is least far, and any other pair shares one of the first marks, as many as either
@@ -340,14 +340,15 @@ def open_pairs(
     many = materialise(met.where(F.col("n") > pair_limit).select("k", "key", "fp", "size").join(roots, "fp"), "many")
     spans = many.groupBy("k", "key").agg(F.min("fp").alias("b"), F.min("root").alias("low"), F.max("root").alias("high"))
     spans = materialise(spans.where("low < high").select("k", "key", "b"), "spans")
-    left = materialise(many.join(maybe_broadcast(spans, 40), ["k", "key"]).select("fp", "size", "root", "b"), "open")
+    left = materialise(many.join(maybe_broadcast(spans, 40), ["k", "key"]).select("k", "key", "fp", "size", "root", "b"), "open")
     discard(many, spans)
     if left.isEmpty():
         discard(left)
         return materialise(roots.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false"), "pairs")
-    families = connected_components(left.select(F.col("fp").alias("a"), "b"))
-    families = families.select(F.col("node").alias("fp"), F.col("root").alias("family"))
-    ends = materialise(left.select("fp", "size", "root").distinct().join(families, "fp"), "ends")
+    low = materialise(left.groupBy("fp").agg(F.min("b").alias("low")), "low")
+    names = materialise(left.join(low, "fp").groupBy("k", "key").agg(F.min("low").alias("family")), "names")
+    homes = materialise(left.join(maybe_broadcast(names, 40), ["k", "key"]).select("fp", "family").distinct(), "homes")
+    ends = materialise(left.select("fp", "size", "root").distinct(), "ends")
     own = class_sets(ends.select("fp"), classes, keyed, shingle)
     sets = materialise(ends.join(own, "fp"), "family_sets")
     total = sets.agg(F.sum("size")).first()[0]
@@ -363,18 +364,19 @@ def open_pairs(
     often, counts = often[order], counts[order]
     found = tokens.where("kind = 1").select("a", "b")
 
-    schema = "fp long, size long, root long, family long, part binary, digest long"
-    dense = materialise(sets.mapInArrow(_common(often, least), schema), "dense")
-    firsts = dense.groupBy("family", "digest").agg(F.min(F.struct("size", "fp")).alias("low")).select(F.col("low.fp").alias("fp"), F.lit(True).alias("first"))
+    parts = sets.mapInArrow(_common(often, least), "fp long, size long, root long, part binary, digest long")
+    dense = materialise(parts.join(homes, "fp"), "dense")
+    firsts = dense.groupBy("family", "digest").agg(F.min(F.struct("size", "fp")).alias("low"))
+    firsts = firsts.select("family", F.col("low.fp").alias("fp"), F.lit(True).alias("first"))
     sizes = materialise(dense.groupBy("family").agg(F.count("*").alias("n")), "sizes")
     sample = dense.join(maybe_broadcast(sizes, 24), "family").where(F.expr(f"pmod(xxhash64(fp), greatest(1, n div {CORE_SAMPLE})) = 0"))
     cores = sample.select("family", "part").groupBy("family").applyInArrow(_core, "family long, core binary")
     cores = materialise(sizes.join(cores, "family", "left"), "cores")
     width = cores.agg(F.max(F.length("core"))).first()[0] or 0
-    whole = dense.join(maybe_broadcast(cores, 32 + width), "family").join(firsts, "fp", "left").select("fp", "size", "root", "family", F.coalesce("first", F.lit(False)).alias("first"), "part", "core", "n")
+    whole = dense.join(maybe_broadcast(cores, 32 + width), "family").join(firsts, ["family", "fp"], "left").select("fp", "size", "root", "family", F.coalesce("first", F.lit(False)).alias("first"), "part", "core", "n")
     schema = "fp long, root long, family long, first boolean, far double, room double, many long, marks binary"
     apart = materialise(whole.mapInArrow(_apart(often, counts, least), schema), "apart")
-    discard(left, ends, own, sets, packed, dense, sizes, cores)
+    discard(left, low, names, homes, ends, own, sets, packed, dense, sizes, cores)
 
     apart = apart.withColumn("level", F.floor(8 * F.log2(1 + F.col("far"))).cast("long"))
     mids = materialise(apart.groupBy("family").agg(F.min(F.struct("far", "fp", "root")).alias("mid")), "mids")
