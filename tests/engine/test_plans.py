@@ -202,3 +202,18 @@ def test_near_join(spark):
 
 def test_types_of_maps():
     assert TAGS.startswith("map") and TAGPROPS.startswith("map")
+
+
+def test_interval_join_packs_its_pairs(spark, tmp_path):
+    days = spark.range(2400).selectExpr("id AS a", "hash(id) % 12 AS lo").selectExpr("a", "lo", "lo + 3 AS hi")
+    hot = days.unionAll(spark.range(5000, 5600).selectExpr("id AS a", "100L AS lo", "101L AS hi")).selectExpr("a", "CAST(lo AS bigint) AS lo", "CAST(hi AS bigint) AS hi")
+    rows = hot.collect()
+    met = joins.interval_join(hot, hot.toDF("b", "lo2", "hi2"), "lo", "hi", "lo2", "hi2", 3).select("a", "b")
+    met.write.parquet(f"{tmp_path}/met")
+    got = spark.read.parquet(f"{tmp_path}/met")
+    by = {}
+    for r in rows:
+        by[r.lo, r.hi] = by.get((r.lo, r.hi), 0) + 1
+    want = sum(n * m for (lo, hi), n in by.items() for (lo2, hi2), m in by.items() if lo < hi2 and lo2 < hi)
+    assert got.count() == got.distinct().count() == want > 1_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < 0.75 * want
