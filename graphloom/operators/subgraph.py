@@ -20,7 +20,7 @@ class Rules:
     """What a projection follows. A node that a filter drops is omitted and leads nowhere.
 
     ``maxsize`` is the most nodes a projection shows, ``edgelimit`` the most edges of a node
-    that is still expanded; both are features of the operator, not guards of this engine.
+    that is still expanded; both only where asked for: without them a projection is whole.
     """
 
     degrees: int = 1
@@ -32,8 +32,8 @@ class Rules:
     pivots: tuple[Callable[[Stream], Stream], ...] = ()
     form_pivots: dict[str, tuple[Callable[[Stream], Stream], ...]] = field(default_factory=dict)
     form_filters: dict[str, tuple[Cond, ...]] = field(default_factory=dict)
-    maxsize: int | None = 100_000
-    edgelimit: int | None = 3_000
+    maxsize: int | None = None
+    edgelimit: int | None = None
 
 
 def keys(stream: Stream) -> Stream:

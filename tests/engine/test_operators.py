@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.errors import BadArg, NoSuchForm, NoSuchPivot, NoSuchProp
-from graphloom.graph import q
+from graphloom.graph import Graph, q
 from graphloom.operators import commands as cmd
 from graphloom.operators import control, edits, lifts, pivots, subgraph, walks
 from graphloom.operators.filters import ArrayHas, IsForm, Prop, Subq, Tag, TagProp, where
@@ -224,3 +224,18 @@ def test_language_tables(g):
     assert names(run_text(g, "test:str", {"limit": 1})) == ["a"]
     row = run_text(g, "test:str $x=:hehe +$x=x").df()
     assert [r["$x"] for r in row.select(q("$x")).collect()] == ["x"]
+
+
+def test_subgraph_edges_whole(spark, model):
+    n = 101_000
+    t = {
+        "ints": spark.range(n).selectExpr("id AS n", "CAST(NULL AS string) AS loc", f"(id + 1) % {n} AS int2"),
+        "strs": spark.createDataFrame([("a",)], "s string").selectExpr("s", "CAST(NULL AS bigint) AS n", "CAST(array() AS array<bigint>) AS ns"),
+        "ips": spark.range(3_001).selectExpr("id AS ip", "id AS asn"),
+        "refs": spark.range(3_001).selectExpr("'a' AS n1", "id AS n2"),
+    }
+    big = Graph(spark, model, t.__getitem__)
+    _, edges = subgraph.project(lifts.lift(big, "test:int"), subgraph.Rules(degrees=1, edges=False))
+    assert edges.count() == n
+    nodes, edges = subgraph.project(lifts.lift(big, "test:str"), subgraph.Rules(degrees=1))
+    assert nodes.df("inet:ipv4").count() == edges.count() == 3_001
