@@ -239,3 +239,14 @@ def test_subgraph_edges_whole(spark, model):
     assert edges.count() == n
     nodes, edges = subgraph.project(lifts.lift(big, "test:str"), subgraph.Rules(degrees=1))
     assert nodes.df("inet:ipv4").count() == edges.count() == 3_001
+
+
+def test_subgraph_nodes_whole(spark, model):
+    n = 60_000
+    t = {
+        "ints": spark.range(2 * n).selectExpr("id AS n", "CAST(NULL AS string) AS loc", f"id + {n} AS int2"),
+        "strs": spark.createDataFrame([], "s string, n bigint, ns array<bigint>"),
+    }
+    big = Graph(spark, model, t.__getitem__)
+    nodes, _ = subgraph.project(lifts.lift(big, "test:int", "<", n), subgraph.Rules(degrees=2, edges=False))
+    assert {r["$degree"]: r["count"] for r in nodes.ndefs("$degree").groupBy("$degree").count().collect()} == {0: n, 1: n}
