@@ -127,7 +127,9 @@ def _first(nodes: Stream, most: int) -> Stream:
 
 def edges_within(graph: Graph, nodes: Stream, rules: Rules) -> DataFrame:
     """Edges (and references) with both ends among the nodes."""
-    parts = ([walks.edges(graph)] if rules.edges and graph.model.verbs else []) + ([walks.references(graph)] if rules.refs else [])
+    parts = [walks.edges(graph)] if rules.edges and graph.model.verbs else []
+    refs = walks.references(graph, nodes.forms()) if rules.refs else None
+    parts += [] if refs is None else [refs]
     if not parts:
         return graph.spark.createDataFrame([], "n1form string, n1 string, verb string, n2form string, n2 string")
     ends = nodes.ndefs()

@@ -77,17 +77,20 @@ def edge_verbs(graph: Graph) -> DataFrame:
     return edges(graph).select("verb").distinct()
 
 
-def references(graph: Graph) -> DataFrame:
-    """All references as edges named by property: the same columns as :func:`edges`."""
+def references(graph: Graph, among: list[str] | None = None) -> DataFrame | None:
+    """All references as edges named by property: the same columns as :func:`edges`. With
+    ``among`` those between such forms, other tables unread; None if there can't be any."""
     from graphloom.graph import valu_text
 
     parts = []
     for f in graph.model.forms.values():
         for name, p, target in graph.model.refs(f):
+            if among is not None and not {f.name, target.name} <= set(among):
+                continue
             valu = F.explode(p.column) if p.is_array else F.col(p.column)
             parts.append(
                 graph.frame(f).select(valu_text(f).alias("n1"), valu.alias("_v")).where("_v IS NOT NULL").select(
                     F.lit(f.name).alias("n1form"), "n1", F.lit(name).alias("verb"), F.lit(target.name).alias("n2form"), F.col("_v").cast("string").alias("n2")
                 )
             )
-    return union_all(parts)
+    return union_all(parts) if parts else None

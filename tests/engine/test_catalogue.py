@@ -43,3 +43,14 @@ def test_interval_join_joins_all_rows(spark, sf, duck):
     want = sorted((a, b) for a, x in rows for b, y in rows if abs(x - y) < near)
     assert len({a for a, _ in want}) == len(rows) > 400
     assert sorted(map(tuple, queries.QUERIES["interval_join"](spark, sf).collect())) == want
+
+
+def test_graph_edges_past_100_000_nodes(spark, sf, duck, tmp_path):
+    many = spark.read.parquet(f"{sf}/orders.parquet").crossJoin(spark.range(90)).selectExpr("o_orderkey * 90 + id AS o_orderkey", "o_custkey", "o_orderstatus", "450001.0D AS o_totalprice", "o_orderdate", "o_orderpriority")
+    many.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{sf}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries.QUERIES["graph_edges"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    ((want,),) = con.sql(f"SELECT count(*) FROM ({queries.SQL['graph_edges']})").fetchall()
+    assert got.count() == got.distinct().count() == want > 100_000
