@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import NoSuchPivot
 from graphloom.graph import Graph, Stream, q, variables
-from graphloom.model import Form, Prop
+from graphloom.model import Form, Prop, with_parents
 from graphloom.operators.filters import Cond, where
 from graphloom.types import unwild
 
@@ -137,7 +137,14 @@ def to_tags(stream: Stream, glob: str | None = None) -> DataFrame:
     from graphloom.graph import union_all
 
     def names(name: str, df: DataFrame) -> DataFrame:
-        tags = F.map_keys(stream.graph.tags(stream.graph.model.form(name), df))
+        form = stream.graph.model.form(name)
+        if form.tags and "tags" not in df.columns:
+            tags = F.array_distinct(F.filter(F.array(*form.tags()), lambda t: t.isNotNull()))
+            if glob is not None:
+                tags = F.array_distinct(F.flatten(F.transform(tags, with_parents)))
+        else:
+            tags = F.map_keys(stream.graph.tags(form, df))
+        df, tags = df.select(tags.alias("_t")), F.col("_t")  # worked out once a row, not for each of its tags
         if glob is None:
             got = F.filter(tags, lambda t: ~F.exists(tags, lambda o: F.startswith(o, F.concat(t, F.lit(".")))))
         elif glob == "*":

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import BadArg, NoSuchForm, NoSuchPivot, NoSuchProp
 from graphloom.graph import Graph, q
+from graphloom.model import Form, Model, bare_tags
 from graphloom.operators import commands as cmd
 from graphloom.operators import control, edits, lifts, pivots, subgraph, walks
 from graphloom.operators.filters import ArrayHas, IsForm, Prop, Subq, Tag, TagProp, where
@@ -250,3 +251,16 @@ def test_subgraph_nodes_whole(spark, model):
     big = Graph(spark, model, t.__getitem__)
     nodes, _ = subgraph.project(lifts.lift(big, "test:int", "<", n), subgraph.Rules(degrees=2, edges=False))
     assert {r["$degree"]: r["count"] for r in nodes.ndefs("$degree").groupBy("$degree").count().collect()} == {0: n, 1: n}
+
+
+def test_derived_tags_without_maps(spark):
+    rows = [(1, "a.b", "a", None), (2, "a", "a", "a"), (3, None, None, None), (4, "", "a.", "a..b"), (5, "a.b.c", "ab", "a.bc"), (6, "x.y", "x.y.z", "x")]
+    model = Model([Form("t", "t", ("k",), Int(), {}, (), lambda: [F.col("x"), F.col("y"), F.col("z")])])
+    plain = spark.createDataFrame(rows, "k bigint, x string, y string, z string")
+    derived = lifts.lift(Graph(spark, model, {"t": plain}.__getitem__), "t")
+    stored = lifts.lift(Graph(spark, model, {"t": plain.withColumn("tags", bare_tags(F.col("x"), F.col("y"), F.col("z")))}.__getitem__), "t")
+    for glob in (None, "*", "a.*", "x.*", "a", "a.b"):
+        got = pivots.to_tags(derived, glob)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pivots.to_tags(stored, glob).collect()))
+        assert "map_from_entries" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.tag for r in pivots.to_tags(derived).collect()) == ["", "a", "a..b", "a.b", "a.b.c", "a.bc", "ab", "x.y.z"]
