@@ -6,6 +6,7 @@ Everything is Spark patterns, so texts never leave the JVM.
 from __future__ import annotations
 
 from functools import partial
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from graphloom.types import bounding_box
 
 # How indicators are written so that they aren't links.
 FANGS = (("hxxps", "https"), ("hxxp", "http"), ("[.]", "."), ("[:]", ":"), ("(.)", "."), ("[dot]", "."), ("[at]", "@"), ("[://]", "://"))
+_TLDS = "com|net|org|edu|gov|mil|int|info|io|co|de|fr|uk|us|ru|cn|jp|example|test"
 #: (form, pattern, group)
 PATTERNS = (
     ("inet:url", r"(?i)\b((?:https?|ftp|tcp)://[^\s<>\"'\]\[]+[^\s<>\"'\]\[.,;:!?)])", 1),
@@ -21,7 +23,7 @@ PATTERNS = (
     ("inet:server", r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d):\d{1,5})\b", 1),
     ("inet:ipv4", r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d:]|\.\d)", 1),
     ("inet:ipv6", r"(?i)(?<![0-9a-f:.])((?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6})(?![0-9a-f:])", 1),
-    ("inet:fqdn", r"(?i)(?<![\w@.-])((?:[a-z0-9_](?:[a-z0-9_-]*[a-z0-9])?\.)+(?:com|net|org|edu|gov|mil|int|info|io|co|de|fr|uk|us|ru|cn|jp|example|test))(?![\w-]|\.\w)", 1),
+    ("inet:fqdn", r"(?i)(?<![\w@.-])((?:[a-z0-9_](?:[a-z0-9_-]*[a-z0-9])?\.)+(?:" + _TLDS + r"))(?![\w-]|\.\w)", 1),
     ("hash:md5", r"(?<![A-Za-z0-9])([A-Fa-f0-9]{32})(?![A-Za-z0-9])", 1),
     ("hash:sha1", r"(?<![A-Za-z0-9])([A-Fa-f0-9]{40})(?![A-Za-z0-9])", 1),
     ("hash:sha256", r"(?<![A-Za-z0-9])([A-Fa-f0-9]{64})(?![A-Za-z0-9])", 1),
@@ -31,11 +33,20 @@ PATTERNS = (
     ("crypto:currency:address", r"(?<![A-Za-z0-9])((?:bc1[a-z0-9]{25,62}|0x[A-Fa-f0-9]{40}|[13][1-9A-HJ-NP-Za-km-z]{25,34}))(?![A-Za-z0-9])", 1),
 )
 
+_HEX = "[A-Fa-f0-9]{32}"
+#: What any match of a form's pattern holds: quick to look for, so that few texts meet the pattern itself.
+NEEDS = {
+    "inet:url": "://", "inet:email": "@", "inet:server": r"\d\.\d{1,3}\.\d{1,3}\.\d{1,3}:\d", "inet:ipv4": r"\d\.\d{1,3}\.\d{1,3}\.\d",
+    "inet:ipv6": r":(?::|[0-9A-Fa-f]{1,4}:)", "inet:fqdn": rf"(?i)\.(?:{_TLDS})", "hash:md5": _HEX, "hash:sha1": _HEX, "hash:sha256": _HEX,
+    "it:sec:cve": "(?i)cve-", "it:sec:cwe": "CWE-", "it:sec:cpe": r"cpe:2\.3:", "crypto:currency:address": "[b013][c1-9A-HJ-NP-Za-km-zx][A-Za-z0-9]{24}",
+}
+
 
 def refang(s: Column) -> Column:
+    out = s
     for old, new in FANGS:
-        s = F.replace(s, F.lit(old), F.lit(new))
-    return s
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(s.rlike(r"hxxp|\[|\(\.\)"), out).otherwise(s)
 
 
 def _named(form: str, v: Column) -> Column:
@@ -44,15 +55,21 @@ def _named(form: str, v: Column) -> Column:
 
 def ndefs(s: Column, forms: list[str] | None = None, defanged: bool = True) -> Column:
     """An array of ``(form, valu)`` found in a text, each once."""
-    text = refang(s) if defanged else s
-    found = []
-    for form, rx, group in PATTERNS:
-        if forms is None or form in forms:
-            got = F.regexp_extract_all(text, F.lit(rx), F.lit(group))
-            if form in ("inet:email", "inet:fqdn", "hash:md5", "hash:sha1", "hash:sha256", "it:sec:cve", "inet:ipv6"):
-                got = F.transform(got, F.lower)
-            found.append(F.transform(got, partial(_named, form)))
-    return F.array_distinct(F.concat(*found))
+    none = F.array().cast("array<struct<form:string,valu:string>>")
+
+    def matches(text: Column, form: str, rx: str, group: int) -> Column:
+        got = F.regexp_extract_all(text, F.lit(rx), F.lit(group))
+        if form in ("inet:email", "inet:fqdn", "hash:md5", "hash:sha1", "hash:sha256", "it:sec:cve", "inet:ipv6"):
+            got = F.transform(got, F.lower)
+        return F.transform(got, partial(_named, form))
+
+    def found(text: Column) -> Column:
+        wanted = [p for p in PATTERNS if forms is None or p[0] in forms]
+        parts = [F.when(text.rlike(need), F.concat(*[matches(text, *p) for p in same])).otherwise(none) for need, same in groupby(wanted, lambda p: NEEDS[p[0]])]
+        return F.when(text.isNotNull(), F.array_distinct(F.concat(*parts)))
+
+    # a lambda's argument: the text is refanged once, not for each pattern
+    return F.transform(F.array(refang(s) if defanged else s), found)[0]
 
 
 def context(s: Column, width: int = 20, forms: list[str] | None = None) -> Column:

@@ -2,6 +2,7 @@ import bz2
 import gzip
 import zlib
 from datetime import UTC, datetime
+from functools import partial
 
 import hypothesis.strategies as st
 from hypothesis import given, settings
@@ -115,3 +116,25 @@ def test_extract(spark):
     assert v(x.cvss3(F.lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"))) == 9.8 and v(x.cvss3(F.lit("AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N"))) == 6.1
     assert v(x.cvss3(F.lit("AV:N/AC:L"))) is None and v(x.cvss3(F.lit("AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N"))) == 0.0
     assert v(x.cvss2(F.lit("AV:N/AC:L/Au:N/C:N/I:N/A:C"))) == 7.8 and v(x.cvss2(F.lit("(AV:L/AC:H/Au:N/C:C/I:C/A:C)"))) == 6.2
+
+
+def test_scrape_looks_first_for_what_a_match_needs(spark):
+    hits = [
+        "hxxp://a.example/x", "tcp[:]//h", "a[at]b.org", "see 1[.]2.3.4:80 now", "255.255.0.1", "1:2:3:4:5:6:7:8", "FE80::1", "a::b:c", "::1", "WWW.Foo.CO", "x(.)y[dot]de",
+        "d41d8cd98f00b204e9800998ecf8427e", "A" * 40, "0123456789abcdef" * 4, "cVe-2020-12345", "CWE-79", "cwe-79", "cpe:2.3:a:b:c:1:*:*:*:*:*:*:*", "bc1" + "q" * 25, "0x" + "aB" * 20,
+        "1" + "A" * 25, "3" + "z" * 34, "2" + "A" * 25, "", "plain words, none. Nothing:here", None,
+    ]
+    texts = hits + [f"{a} {b}," for a in hits for b in hits[::3] if a and b] + [f"x{a}" for a in hits if a]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    text = F.col("t")
+    for old, new in x.FANGS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    parts = []
+    for form, rx, group in x.PATTERNS:
+        low = form in ("inet:email", "inet:fqdn", "hash:md5", "hash:sha1", "hash:sha256", "it:sec:cve", "inet:ipv6")
+        got = F.regexp_extract_all(text, F.lit(rx), F.lit(group))
+        parts.append(F.transform(F.transform(got, F.lower) if low else got, partial(x._named, form)))
+    rows = df.select(x.ndefs(F.col("t")).alias("got"), F.array_distinct(F.concat(*parts)).alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and {n.form for r in rows for n in r.want or ()} == {p[0] for p in x.PATTERNS}
+    plan = x.scrape(df, "i", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") <= 2 * len(x.FANGS)  # refanged once, not for each pattern
